@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from strataloom.llm import mixing, sharding, url_filters
+from strataloom.llm import bpe, mixing, quality, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op5_url_filters": url_filters.op5_url_filters,
     "op7_mixing": mixing.op7_mixing,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
     "op1_sharding": sharding.SQL,
+    "op2_quality_rules": quality.SQL,
     "op5_url_filters": url_filters.SQL,
     "op7_mixing": mixing.SQL,
 }
