@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strataloom.llm import bpe, mixing, quality, sharding, simhash, url_filters
+from strataloom.llm import bpe, chat, mixing, quality, sharding, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filters.op5_url_filters,
     "op7_mixing": mixing.op7_mixing,
     "op9_simhash": simhash.op9_simhash,
@@ -16,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_sharding": sharding.SQL,
     "op2_quality_rules": quality.SQL,
+    "op3_chat_formatting": chat.SQL,
     "op5_url_filters": url_filters.SQL,
     "op7_mixing": mixing.SQL,
 }
