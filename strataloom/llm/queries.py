@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import bpe, chat, mixing, quality, sharding, simhash, toxicity, url_filters
+from strataloom.llm import ann, bpe, chat, mixing, quality, sharding, simhash, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filters.op5_url_filters,
+    "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
+    "op8_ann": ann.op8_ann,
     "op9_simhash": simhash.op9_simhash,
     "op10_bpe": bpe.op10_bpe,
 }
@@ -20,5 +22,6 @@ ORACLES = {
     "op2_quality_rules": quality.SQL,
     "op3_chat_formatting": chat.SQL,
     "op5_url_filters": url_filters.SQL,
+    "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
 }
