@@ -1,11 +1,8 @@
-"""The registered queries and the SQL that states their results."""
+"""The registered queries of the corpus operators and the SQL that states their results."""
 
 from __future__ import annotations
 
+from strataloom.plans import training  # noqa: F401  registers its queries
+from strataloom.plans.corpus import ORACLES, QUERIES, flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
-
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
