@@ -30,7 +30,7 @@ def _blocks(docs: DataFrame, arrays: list[str], order: str, seq_len: int, width:
     cut = [F.slice(a, (start - F.col("__at") + 1).cast("int"), (end - start).cast("int")).alias(a) for a in arrays]
     slices = rows.where(start < end).select(*by, "block", F.struct("__at", *cut).alias("s"))
     grouped = slices.groupBy(*by, "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return grouped.select(*by, "block", *[F.flatten(F.transform("s", lambda x, a=a: x[a])).alias(a) for a in arrays])
+    return grouped.select(*by, "block", *[F.flatten(F.col("s")[a]).alias(a) for a in arrays])
 
 
 def pack_tokens(docs: DataFrame, seq_len: int, tokens: str = "tokens", order: str = "doc_id", by: list[str] | None = None) -> DataFrame:

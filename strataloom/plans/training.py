@@ -168,9 +168,9 @@ def leg_ladder(spark, sf_dir):
     return spark.range(1, 16).select(F.col("id").alias("leg"), metrics.leg_stop(F.col("id")).alias("stop_step"))
 
 
-@query(f"SELECT i * 500 AS step, (SELECT min(k) FROM (VALUES {_STOPS}) l(k, s) WHERE i * 500 < s AND i * 500 >= 5000)::INTEGER AS leg FROM range(260) t(i)")
+@query(f"SELECT i * 500 AS step, coalesce((SELECT min(k) FROM (VALUES {_STOPS}) l(k, s) WHERE i * 500 < s AND i * 500 >= 5000), 0)::INTEGER AS leg FROM range(260) t(i)")
 def leg_of_step(spark, sf_dir):
-    return spark.range(260).select((F.col("id") * 500).alias("step")).withColumn("leg", metrics.leg_of_step(F.col("step")))
+    return spark.range(260).select((F.col("id") * 500).alias("step")).withColumn("leg", F.coalesce(metrics.leg_of_step(F.col("step")), F.lit(0)))
 
 
 @query("SELECT round(avg(ln(1 + exp(-0.1 * ((n_chars % 97) / 3.0 - (n_chars % 89) / 3.0)))), 9) AS loss, count(*) AS pairs FROM documents")
