@@ -61,6 +61,9 @@ class Tree:
                 return ~(self.leaves - 1)
             centres = kmeans(x, k, rng)
             at = nearest(x, centres)
+            if np.bincount(at).max() == len(x):  # copies of one vector
+                self.leaves += 1
+                return ~(self.leaves - 1)
             me = len(self.nodes)
             self.nodes.append(None)
             children = [grow(x[at == j], round(want * float((at == j).mean()))) for j in range(k)]

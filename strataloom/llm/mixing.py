@@ -8,7 +8,7 @@ are random subsets in random order (no sampling pass, no sort of the whole).
 
 Defined cases: a null source is a source of its own; rows that repeat (with equal ids) draw the same count; null ids
 draw as an empty id would; a source with weight 0 goes; an empty table gives no rows. Columns of the input
-stay as they are; names beginning with __mix are kept for use within.
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,17 +49,20 @@ def poisson_cdf(rate):
     return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda acc: acc["a"])
 
 
-def poisson_mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, total: float | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with each row as often as drawn, shuffled; with copy (from 0) and shuffle_key, by which the order goes."""
+def poisson_mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, total: float | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", numbered: bool = True) -> DataFrame:
+    """docs with each row as often as drawn, shuffled; if numbered with copy (from 0) and shuffle_key, by which the order goes (in place of columns of these names)."""
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
     rates = source_rates(docs, weights, temperature, total, source_col).withColumn("__mix_pieces", pieces).withColumn("__mix_cdf", poisson_cdf(F.col("rate") / F.col("__mix_pieces"))).drop("rate")
-    keyed_docs = docs.withColumn("__mix_src", keyed(F.col(source_col)))
-    drawn = join_small(keyed_docs, rates, "__mix_src", F.col(id_col), "inner")
-    one = lambda j: F.size(F.filter("__mix_cdf", lambda c: c <= hash60(seed, F.col(id_col), j.cast("string")) / F.lit(float(1 << 60))))
-    repeats = F.aggregate(F.sequence(F.lit(1), F.col("__mix_pieces")), F.lit(0), lambda acc, j: acc + one(j))
-    copies = drawn.withColumn("__mix_n", repeats).where("__mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
-    copies = copies.withColumn("shuffle_key", hash60(seed, "order", F.col(id_col), F.col("copy"))).drop("__mix_src", "__mix_n", "__mix_pieces", "__mix_cdf")
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
+    rows = docs.select(F.struct("*").alias("__mix_row"), F.col(id_col).alias("__mix_id"), keyed(F.col(source_col)).alias("__mix_src"))
+    drawn = join_small(rows, rates, "__mix_src", F.col("__mix_id"), "inner")
+    # the hashes are a column of their own: within the count over the distribution they would be made for each of its values
+    drawn = drawn.withColumn("__mix_u", F.transform(F.sequence(F.lit(1), F.col("__mix_pieces")), lambda j: hash60(seed, F.col("__mix_id"), j.cast("string")) / F.lit(float(1 << 60))))
+    repeats = F.aggregate("__mix_u", F.lit(0), lambda acc, u: acc + F.size(F.filter("__mix_cdf", lambda c: c <= u)))
+    copies = drawn.withColumn("__mix_n", repeats).where("__mix_n > 0").select("__mix_row", "__mix_id", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)).alias("__mix_copy"))
+    copies = copies.withColumn("__mix_key", hash60(seed, "order", F.col("__mix_id"), F.col("__mix_copy")))
+    mixed = copies.repartition("__mix_key").sortWithinPartitions("__mix_key", "__mix_id")
+    own = [c for c in docs.columns if not (numbered and c in ("copy", "shuffle_key"))]
+    return mixed.select(*[F.col(f"__mix_row.`{c}`").alias(c) for c in own], *([F.col("__mix_copy").alias("copy"), F.col("__mix_key").alias("shuffle_key")] if numbered else []))
 
 
 def op7_mixing(spark, sf_dir):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import join_small, keyed, table
 
-MAX_DOCS, MAX_SHARE, MIN_WORDS, MIN_LEFT = 10, 0.03, 10, 0.3
+MAX_DOCS, MAX_SHARE, MIN_WORDS, MIN_LEFT = 10, 0.05, 10, 0.3
 WINDOW = 5
 
 _digits = re.compile(rb"[0-9]+")
@@ -118,12 +118,13 @@ def judge(text: str | None, hot: frozenset, min_words: int, min_left: float) ->
     return (*counts, removed, left, base_failed, not base_failed and not depleted, clean)
 
 
-def judged_documents(docs: DataFrame, carry: list[str], with_text: bool, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The carried columns, then the counts and verdict of every row, and the text without the lines above limits (if with_text)."""
+def _judged(docs: DataFrame, carry: list[str], with_text: bool, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The carried columns as __c0, __c1, ...; the counts and verdict of every row; the text without the lines above limits (if with_text)."""
     hot = lines_above_limits(docs, max_docs, max_share, text_col, host_col)
     kinds = dict(docs.dtypes)
-    rows = docs.select(*carry, F.col(text_col).alias("__text"), keyed(F.col(host_col)).alias("__host"))
-    rows = join_small(rows, hot, "__host", F.col("__text")).select(*carry, "__text", "__hot")
+    names = [f"__c{i}" for i in range(len(carry))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], F.col(text_col).alias("__text"), keyed(F.col(host_col)).alias("__host"))
+    rows = join_small(rows, hot, "__host", F.col("__text")).select(*names, "__text", "__hot")
     fields = [f.split() for f in VERDICT.split(", ")][: None if with_text else -1]
 
     def run(batches):
@@ -143,18 +144,25 @@ def judged_documents(docs: DataFrame, carry: list[str], with_text: bool, max_doc
             made = [pa.array([r[i] for r in out], kind[f[1]]) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *made], names=[*batch.schema.names[: n - 2], *(f[0] for f in fields)])
 
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [" ".join(f) for f in fields]))
+    return rows.mapInArrow(run, ", ".join([f"{n} {kinds[c]}" for c, n in zip(carry, names)] + [" ".join(f) for f in fields]))
+
+
+def judged_documents(docs: DataFrame, carry: tuple = ("doc_id",), **options) -> DataFrame:
+    """The carried columns, then the counts and verdict of every row."""
+    judged = _judged(docs, list(carry), False, **options)
+    return judged.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], *[f.split()[0] for f in VERDICT.split(", ")[:-1]])
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **limits) -> DataFrame:
     """The documents that stay, without their lines above limits; same columns as docs (the length follows the text)."""
-    judged = judged_documents(docs, [c for c in docs.columns if c != text_col], True, text_col=text_col, **limits).where("kept")
-    names = {text_col: F.col("__clean"), **({length_col: F.length("__clean").cast("long")} if length_col in docs.columns else {})}
-    return judged.select(*[names[c].alias(c) if c in names else F.col(c) for c in docs.columns])
+    carry = [c for c in docs.columns if c != text_col]
+    made = {text_col: F.col("__clean"), length_col: F.length("__clean").cast("long")}
+    judged = _judged(docs, carry, True, text_col=text_col, **limits).where("kept")
+    return judged.select(*[(made[c] if c in made else F.col(f"__c{carry.index(c)}")).alias(c) for c in docs.columns])
 
 
 def op2_quality_rules(spark, sf_dir):
-    return judged_documents(table(spark, sf_dir, "documents"), ["doc_id"], False)
+    return judged_documents(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
@@ -171,7 +179,7 @@ worded AS (
   FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dups AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM worded GROUP BY rid),
 host_docs AS (SELECT host, count(DISTINCT t) AS d FROM base GROUP BY host),
-hot AS (SELECT host, norm FROM worded JOIN host_docs USING (host) GROUP BY host, norm HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > max(d) * 0.03),
+hot AS (SELECT host, norm FROM worded JOIN host_docs USING (host) GROUP BY host, norm HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > max(d) * 0.05),
 gone AS (SELECT rid, count(*) AS n_removed_lines, sum(n) AS gone FROM worded JOIN hot USING (host, norm) GROUP BY rid),
 counted AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,

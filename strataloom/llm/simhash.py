@@ -215,4 +215,4 @@ def first_of_each_group(docs: DataFrame, n_words: int = 5, max_bits: int = 4, id
     """The documents whose id is the smallest of their component; columns as they are. Rows of one id stay or go together."""
     groups = simhash_components(docs, n_words, max_bits, id_col, text_col)
     first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__first")).distinct()
-    return docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("__first")), "left_semi")
+    return docs.join(first, docs[id_col].cast("long").eqNullSafe(first["__first"]), "left_semi")
