@@ -72,3 +72,18 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """One row for each item of a frozen evaluation set {version, frozen_utc, source, items}."""
     return spark.read.option("multiLine", True).json(path).select("version", F.inline("items"))
+
+
+def seed_if_empty(spark: SparkSession, folder: str, docs: list[str]) -> bool:
+    """Writes the given documents as text (blank lines between) if the folder has no usable file; tells whether it did."""
+    if collect_files(spark, folder, 1, 1 << 40).limit(1).count():
+        return False
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "ord long, text string")
+    rows.coalesce(1).sortWithinPartitions("ord").select(F.col("text").alias("value")).write.mode("append").option("lineSep", "\n\n").text(folder)
+    return True
+
+
+def seed_pairs(spark: SparkSession, pairs: list[tuple[str, str, str]], max_pairs: int | None = None) -> DataFrame:
+    """ord, instruction, input, output of the first pairs of a list."""
+    rows = [(i, *p) for i, p in enumerate(pairs[:max_pairs])]
+    return spark.createDataFrame(rows, "ord long, instruction string, input string, output string")

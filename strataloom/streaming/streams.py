@@ -50,3 +50,8 @@ def run_with_budget(stream: DataFrame, path: str, checkpoint: str, order: str, b
         kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def counted(stream: DataFrame, name: str = "progress", text_col: str = "text") -> DataFrame:
+    """stream with documents and characters counted on the way; a batch's counts are among its observed metrics."""
+    return stream.observe(name, F.count(F.lit(1)).alias("docs"), F.sum(F.length(text_col)).alias("chars"))

@@ -232,3 +232,11 @@ def test_files(spark, tmp_path):
     assert files.collect_files(spark, str(src), 1, 1000).count() == 1 and files.collect_files(spark, str(tmp_path / "none")).count() == 0
     cut = lambda t, eos: spark.range(1).select(files.split_documents(F.lit(t), eos).alias("x")).first().x
     assert cut("doc one\n<E>\ndoc two\n<E>\n", "<E>") == ["doc one", "doc two"] and cut("a\n\nb\n\n\n\n", None) == ["a", "b"]
+
+
+def test_seeds(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    assert files.seed_if_empty(spark, folder, ["first doc", "second doc"]) and not files.seed_if_empty(spark, folder, ["third"])
+    docs = files.file_documents(files.collect_files(spark, folder)).where("text <> ''")
+    assert sorted(r.text for r in docs.collect()) == ["first doc", "second doc"]
+    assert [r.output for r in files.seed_pairs(spark, [("a", "", "b"), ("c", "", "d")], 1).collect()] == ["b"]
