@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import checkpointed, table
+from strataloom.llm.common import bounded_sample, checkpointed, table
 
 SAMPLE, BRANCHES, LEAF_ROWS, MAX_LEAVES = 32_768, 16, 1024, 4096
 CALIBRATION, TARGET, BLOCK_ROWS, GROUP_QUERIES = 64, 0.97, 4096, 2048
@@ -142,7 +142,7 @@ def k_nearest_neighbours(rows: DataFrame, is_query, k: int = 10, id_col: str = "
     n, n_queries = vectors.count(), queries.count()
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = stacked(vectors.orderBy(F.xxhash64("__id", F.lit(3))).limit(sample).select("__v").toArrow().column(0))
+    drawn = stacked(bounded_sample(vectors, n, sample, F.xxhash64("__id", F.lit(3))).select("__v").toArrow().column(0))
     tree = Tree(drawn, min(MAX_LEAVES, max(1, len(drawn) // 8), -(-n // leaf_rows)))
 
     def place(batches):
@@ -155,7 +155,7 @@ def k_nearest_neighbours(rows: DataFrame, is_query, k: int = 10, id_col: str = "
     for r in placed.groupBy("leaf").count().collect():
         sizes[r["leaf"]] = r["count"]
 
-    trial = queries.orderBy(F.xxhash64("__id", F.lit(5))).limit(CALIBRATION).toArrow()
+    trial = bounded_sample(queries, n_queries, CALIBRATION, F.xxhash64("__id", F.lit(5))).toArrow()
     trial_ids, trial_v = trial.column(0).to_numpy(), stacked(trial.column(1))
 
     def exact(batches):

@@ -71,3 +71,16 @@ def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
 def strings(column) -> list:
     """An Arrow string column as Python strings, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]
+
+
+def bounded_sample(rows: DataFrame, total: int, bound: int, order: Column) -> DataFrame:
+    """The bound rows with the smallest order (a hash as a long), of total rows about.
+
+    What lies far beyond the bound's share of hashes is left out before rows are ranked, so the ranking sees little more than bound rows
+    in all, however many partitions there are.
+    """
+    share = 1.0 if total <= 2 * bound else (bound + 6 * bound**0.5 + 10) / total
+    if share < 1.0:
+        least = -(1 << 63) + int(share * (1 << 64))
+        rows = rows.where(order <= F.lit(least).cast("long"))
+    return rows.orderBy(order).limit(bound)

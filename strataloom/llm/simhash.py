@@ -39,7 +39,7 @@ PAIRWISE, CHUNK = 12, 4096
 SHINGLES = 1 << 15
 
 
-def simhash(text: str | None, n_words: int = 4) -> int:
+def simhash(text: str | None, n_words: int = 4, seed: int = 42) -> int:
     """The fingerprint as a signed long."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
@@ -53,21 +53,22 @@ def simhash(text: str | None, n_words: int = 4) -> int:
         ends = (after[n_words - 1 :] - 1).tolist()
     ones, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), SHINGLES):
-        h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[at : at + SHINGLES], ends[at : at + SHINGLES])], dtype="<u8")
+        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + SHINGLES], ends[at : at + SHINGLES])], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """__id, fp for each row of docs."""
+def fingerprints(docs: DataFrame, n_words: int = 4, id_col: str = "doc_id", text_col: str = "text", seeds: tuple = (42,)) -> DataFrame:
+    """__id and a fingerprint for each seed (fp, fp1, fp2, ...) of each row of docs."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def run(batches):
         for batch in batches:
-            fps = pa.array([simhash(t.as_py(), n_words) for t in batch.column(1)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["__id", "fp"])
+            texts = [t.as_py() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([simhash(t, n_words, seed) for t in texts], type=pa.int64()) for seed in seeds)], names=["__id", *names])
 
     kept = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    return kept.mapInArrow(run, "__id long, fp long")
+    return kept.mapInArrow(run, ", ".join(["__id long", *(f"{n} long" for n in names)]))
 
 
 def byte_masks(shared: int) -> list[int]:
@@ -196,23 +197,36 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 4, size_limit: int =
     return found.where("b IS NOT NULL").select("a", "b").union(across.select("a", "b"))
 
 
-def simhash_components(docs: DataFrame, n_words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id: the smallest id that is reachable over links."""
-    fps = checkpointed(fingerprints(docs, n_words, id_col, text_col))
+def component_ids(fps: DataFrame, max_bits: int) -> DataFrame:
+    """fp, component_id of every fingerprint of fps(__id, fp): the smallest id that is reachable over links."""
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("__id").alias("__least")))
     labels = component_labels(fingerprint_links(distinct.select("fp"), max_bits)).select(F.col("u").alias("fp"), F.col("v").alias("__label"))
     members = distinct.join(labels, "fp", "left").withColumn("__label", F.coalesce("__label", "fp"))
     least = members.groupBy("__label").agg(F.min("__least").alias("component_id"))
-    of_fp = members.join(least, "__label").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return members.join(least, "__label").select("fp", "component_id")
+
+
+def simhash_components(docs: DataFrame, n_words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fingerprint (16 hex digits), component_id: the smallest id that is reachable over links."""
+    fps = checkpointed(fingerprints(docs, n_words, id_col, text_col))
+    found = fps.join(component_ids(fps, max_bits), "fp")
+    return found.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-def first_of_each_group(docs: DataFrame, n_words: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component; columns as they are. Rows of one id stay or go together."""
-    groups = simhash_components(docs, n_words, max_bits, id_col, text_col)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__first")).distinct()
+def first_of_each_group(docs: DataFrame, n_words: int = 5, max_bits: int = 5, seeds: tuple = (42, 43), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id is the smallest of their component; columns as they are. Rows of one id stay or go together.
+
+    A near copy that one fingerprint sees too far off, another may link: those that stay by the fingerprints of the first seed are
+    compared by those of the next.
+    """
+    fps = checkpointed(fingerprints(docs, n_words, id_col, text_col, seeds))
+    for k in range(len(seeds)):
+        now = fps.withColumn("fp", F.col(f"fp{k}")) if k else fps
+        stays = now.join(component_ids(now.select("__id", "fp"), max_bits), "fp").where(F.col("__id").eqNullSafe(F.col("component_id")))
+        fps = checkpointed(stays.drop("component_id"))
+    first = fps.select(F.col("__id").alias("__first")).distinct()
     return docs.join(first, docs[id_col].cast("long").eqNullSafe(first["__first"]), "left_semi")

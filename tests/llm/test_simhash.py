@@ -10,14 +10,14 @@ from strataloom.llm import components, simhash
 from tests.llm import helpers
 
 
-def brute_fingerprint(text, n=4):
+def brute_fingerprint(text, n=4, seed=42):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
     sh = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)]
     ones = [0] * 64
     for s in sh:
-        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        h = xxhash.xxh64_intdigest(s.encode(), seed)
         for b in range(64):
             ones[b] += h >> b & 1
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(sh))
