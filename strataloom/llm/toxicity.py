@@ -16,6 +16,7 @@ every score is 0, without documents there are no rows; other columns are ignored
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import table
+from strataloom.llm.common import bounded_sample, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 1500, 4000, 1200
 BITS, GRAMS, THRESHOLD = 18, (4, 5), 0.7
@@ -134,13 +135,30 @@ def fit_curve(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
+    """Weights of grams, bias, and the curve from scores to probabilities."""
+
     def __init__(self, w: np.ndarray, bias: float, a: float, b: float, known: bool = True):
         self.w, self.bias, self.a, self.b, self.known = w.astype(np.float32), bias, a, b, known
+        self.of_word: dict[str, tuple] = {}
+
+    def weighing(self, word: str) -> tuple:
+        """The word's grams that bear a weight: few words have any."""
+        found = self.of_word.get(word)
+        if found is None:
+            found = tuple(g for g in word_grams(word).tolist() if self.w[g])
+            if len(self.of_word) >= WORD_CACHE:
+                self.of_word.clear()
+            if len(word) <= 64:
+                self.of_word[word] = found
+        return found
 
     def score(self, text: str | None) -> float:
         if not self.known:
             return 0.0
-        s = float(self.w[features(text)].sum(dtype=np.float64)) + self.bias
+        grams: set[int] = set()
+        for word in set(_word.findall((text or "").lower())):
+            grams.update(self.weighing(word))
+        s = math.fsum(self.w[g] for g in grams) + self.bias
         return float(sigmoid(self.a * s + self.b))
 
 
@@ -155,12 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("__id").agg(F.max("__y").alias("__y")).join(ids.distinct(), "__id", "left_semi")
     aside = F.xxhash64("__id", F.lit(4)) % 4 == 0  # for the curve
     order = F.xxhash64("__id", F.lit(9))
-    prior = known.agg(F.avg("__y")).first()[0] or 0.0
+    n, prior = known.agg(F.count(F.lit(1)), F.avg("__y")).first()
     if not prior:
         return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0, known=False)
+
+    def pick(rows, use, total, bound):
+        return bounded_sample(rows, total, bound, order).select("__id", F.lit(use).alias("__use"), F.col("__y") if "__y" in rows.columns else F.lit(0).alias("__y"))
+
+    # aside takes a quarter of the labels
+    wanted = pick(known.where((F.col("__y") == 1) & ~aside), "p", int(n * prior * 3 // 4), MAX_POSITIVE).union(pick(ids, "u", ids.count(), MAX_UNLABELLED)).union(pick(known.where(aside), "c", n // 4, MAX_CALIBRATION))
     prior = min(max(prior, 1e-4), 0.9)
-    pick = lambda rows, use, n: rows.orderBy(order).limit(n).select("__id", F.lit(use).alias("__use"), F.col("__y") if "__y" in rows.columns else F.lit(0).alias("__y"))
-    wanted = pick(known.where((F.col("__y") == 1) & ~aside), "p", MAX_POSITIVE).union(pick(ids, "u", MAX_UNLABELLED)).union(pick(known.where(aside), "c", MAX_CALIBRATION))
 
     def run(batches):
         for batch in batches:
