@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from strataloom.llm.common import table
 
 CHUNK, OVERLAP, MARGIN = 1 << 15, 512, 4
-CACHE = 400_000
+CACHE = 100_000
 
 
 class Codec:

@@ -29,7 +29,7 @@ from strataloom.llm.common import bounded_sample, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 1500, 4000, 1200
 BITS, GRAMS, THRESHOLD = 18, (4, 5), 0.7
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 
 _word = re.compile(r"[^\W\d_]+")
 _grams: dict[str, np.ndarray] = {}
