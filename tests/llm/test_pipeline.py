@@ -7,7 +7,7 @@ import corpus_pipeline
 from strataloom.llm import bpe, quality
 from tests.llm import helpers
 from tests.llm.test_quality import brute as brute_quality
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
+from tests.llm.test_simhash import brute_fingerprint, brute_wide_groups
 from tests.llm.test_toxicity import BAD
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,13 +39,12 @@ def test_run_against_brute_force(spark, tmp_path):
     marked = {i for i, t, *_ in docs if t and any(b in t for b in BAD)}
     assert tox <= marked and len(tox) >= 0.9 * len(marked & kept)
     stay = {r.doc_id: r.text for r in out["toxicity"]}
-    for seed in (42, 43):
-        fps = {i: brute_fingerprint(t, 5, seed) for i, t in stay.items()}
-        groups = brute_groups(fps.values(), 5)
-        least = {}
-        for i, f in fps.items():
-            least[groups[f]] = min(least.get(groups[f], i), i)
-        stay = {i: stay[i] for i in least.values()}
+    fps = {i: tuple(brute_fingerprint(t, 5, seed) for seed in (42, 43, 44)) for i, t in stay.items()}
+    groups = brute_wide_groups(fps.values(), 31, 3)
+    least = {}
+    for i, f in fps.items():
+        least[groups[f]] = min(least.get(groups[f], i), i)
+    stay = {i: stay[i] for i in least.values()}
     assert {r.doc_id for r in out["near_dedup"]} == set(stay)
     library = tiktoken.Encoding("own", pat_str=bpe.default_vocabulary()[1], mergeable_ranks=bpe.codec(*bpe.default_vocabulary()).ranks, special_tokens={})
     coded = {}

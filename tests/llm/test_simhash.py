@@ -24,7 +24,21 @@ def brute_fingerprint(text, n=4, seed=42):
 
 
 def brute_groups(fps, bits):
-    u = sorted(set(fps))
+    return grouped(fps, lambda a, b: (a ^ b).bit_count() <= bits)
+
+
+def brute_wide_groups(entries, bits, shared):
+    """Entries of several fingerprints: one has so many bytes in common, and all differ in so many bits at most."""
+
+    def linked(a, b):
+        x = [p ^ q for p, q in zip(a, b)]
+        return sum(y.bit_count() for y in x) <= bits and any(y.to_bytes(8, "little").count(0) >= shared for y in x)
+
+    return grouped(entries, linked)
+
+
+def grouped(things, linked):
+    u = sorted(set(things))
     up = {x: x for x in u}
 
     def root(x):
@@ -34,7 +48,7 @@ def brute_groups(fps, bits):
 
     for i, a in enumerate(u):
         for b in u[:i]:
-            if (a ^ b).bit_count() <= bits:
+            if linked(a, b):
                 ra, rb = root(a), root(b)
                 up[max(ra, rb)] = min(ra, rb)
     return {x: root(x) for x in u}
@@ -77,8 +91,28 @@ def test_links_reach_all_that_brute_force_links(spark, bits, limit):
 
 def test_forest_connects_what_is_linked():
     fps = np.array([0, 1, 3, 7, 15, 3 << 40, (3 << 40) + 1], dtype=np.uint64)
-    a, b = simhash.forest(fps, 1)
-    assert len(a) == 5 and all((int(x) ^ int(y)).bit_count() <= 1 for x, y in zip(a, b))
+    a, b = simhash.forest(fps[:, None], 1)
+    assert len(a) == 5 and all((int(x) ^ int(y)).bit_count() <= 1 for x, y in zip(a[:, 0], b[:, 0]))
+
+
+@pytest.mark.parametrize("limit", [16, 4096])
+def test_links_of_several_fingerprints(spark, limit):
+    rnd, points = random.Random(3), set()
+    for _ in range(8):
+        centre = [rnd.getrandbits(64) for _ in range(3)]
+        for _ in range(40):
+            flips = [sum(1 << b for b in rnd.sample(range(64), rnd.randrange(18))) for _ in centre]
+            points.add(tuple(c ^ f for c, f in zip(centre, flips)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([tuple(map(signed, p)) for p in points], "fp long, fp1 long, fp2 long")
+    labels = {r.u: r.v for r in components.component_labels(simhash.fingerprint_links(df, 31, limit, 3)).collect()}
+    mine, brute = {}, {}
+    groups = brute_wide_groups(points, 31, 3)
+    for r in df.withColumn("id", simhash.entry_id(df.columns)).collect():
+        p = tuple(x % (1 << 64) for x in r[:3])
+        mine.setdefault(labels.get(r.id, r.id), set()).add(p)
+        brute.setdefault(groups[p], set()).add(p)
+    assert len(brute) > 20 and sorted(map(sorted, mine.values())) == sorted(map(sorted, brute.values()))
 
 
 def test_long_chain_of_links(spark):
