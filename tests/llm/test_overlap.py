@@ -1,6 +1,8 @@
 import random
 
-from strataloom.llm import simhash
+import pytest
+
+from strataloom.llm import overlap, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -14,6 +16,36 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def edited_texts(seed, groups=12, copies=14, words=300, most=9):
+    """Groups of texts of which each has up to so many words of its base changed: overlaps lie on both sides of 0.8."""
+    rnd, texts = random.Random(seed), []
+    for g in range(groups):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(words)]
+        for _ in range(copies):
+            text = list(base)
+            for at in rnd.sample(range(words), rnd.randrange(most)):
+                text[at] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(text))
+    rnd.shuffle(texts)
+    return texts
+
+
+def first_ids(texts):
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if jaccard(a, b) >= 0.8 and root(i) != root(j):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i for i in range(len(sets)) if root(i) == i}
+
+
 def stay(spark, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     return {r.doc_id for r in simhash.first_of_each_group(docs).collect()}
@@ -30,3 +62,25 @@ def test_near_copies_at_the_limit_are_all_found(spark):
         texts += [" ".join(base), " ".join(copy)]
     assert all(0.8 <= jaccard(shingles(a), shingles(b)) < 0.85 for a, b in zip(texts[::2], texts[1::2]))
     assert stay(spark, texts) == set(range(0, 120, 2))
+
+def test_texts_without_a_partner_at_the_limit_stay(spark):
+    """Pairs of texts that overlap by 0.70 to 0.80: nothing is removed."""
+    rnd, texts = random.Random(2), []
+    for _ in range(60):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        copy = list(base)
+        for at in range(10, 10 + 35 * 8, 35):  # eight words: 40 of 296 shingles, 256 / 336 = 0.762
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(copy)]
+    assert all(0.7 <= jaccard(shingles(a), shingles(b)) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert stay(spark, texts) == set(range(120))
+
+
+@pytest.mark.parametrize("pairwise,block", [(12, 2048), (3, 4), (1000, 2048)])
+def test_stage_against_brute_force_overlap(spark, monkeypatch, pairwise, block):
+    monkeypatch.setattr(overlap, "PAIRWISE", pairwise)
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    texts = edited_texts(3)
+    want = first_ids(texts)
+    assert 20 < len(want) < len(texts) - 60
+    assert stay(spark, texts) == want
