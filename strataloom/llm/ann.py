@@ -5,7 +5,7 @@ the tree with a priority queue: the nearest bin that is still closed is opened n
 
 How many leaves: CALIBRATION queries are compared with every vector, which tells the leaf of each true neighbour, so
 the recall of any number of visits is known from the place of these leaves in the query's order. Visits are widened from one leaf on until that recall
-reaches the target.
+reaches the target. A query whose leaves hold fewer than k rows besides its own goes on in its order until they do.
 
 Leaves hold about LEAF_ROWS vectors; one that holds more (copies of one vector can't be told apart by any tree) is dealt over
 blocks, and queries of a leaf over groups, so no task holds more than a block of vectors and a group of queries. Each gives its 10 nearest, and these
@@ -85,13 +85,14 @@ class Tree:
                 todo += [(c, rows[at == j]) for j, c in enumerate(children)]
         return out
 
-    def order(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves of the best-bin-first walk."""
-        out, queue, n = [], [(0.0, 0, self.root)], 0
-        while queue and len(out) < visits:
+    def order(self, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first leaves of the best-bin-first walk: so many, and on until they hold so many rows (sizes: the rows of each leaf)."""
+        out, queue, n, held = [], [(0.0, 0, self.root)], 0, 0
+        while queue and (len(out) < visits or held < rows):
             _, _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(~node)
+                held += int(sizes[~node]) if sizes is not None else 0
                 continue
             centres, children = self.nodes[node]
             d = ((centres - q) ** 2).sum(1)
@@ -189,9 +190,9 @@ def k_nearest_neighbours(rows: DataFrame, is_query, k: int = 10, id_col: str = "
 
     def route(batches):
         for batch in batches:
-            ids, q = batch.column(0).to_numpy(), stacked(batch.column(1)) if batch.num_rows else []
+            ids, q, own = batch.column(0).to_numpy(), stacked(batch.column(1)) if batch.num_rows else [], batch.column(2).to_numpy()
             for i in range(batch.num_rows):
-                keys = [(leaf, b) for leaf in tree.order(q[i], visits) for b in range(blocks[leaf]) if sizes[leaf]]
+                keys = [(leaf, b) for leaf in tree.order(q[i], visits, sizes, k + int(own[i])) for b in range(blocks[leaf]) if sizes[leaf]]
                 m = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, ids[i])), batch.column(1).take(pa.array([i] * m, pa.int32())), pa.array([x for x, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.int32()), pa.array(np.full(m, int(ids[i]) * 0x9E3779B1 >> 12 & 0xFFFFF) % groups, pa.int32())], names=["__id", "__v", "leaf", "block", "group"])
 
@@ -219,7 +220,8 @@ def k_nearest_neighbours(rows: DataFrame, is_query, k: int = 10, id_col: str = "
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     key = ["leaf", "block", "group"]
-    asked, held = queries.mapInArrow(route, keyed), placed.mapInArrow(deal, keyed)
+    own = queries.groupBy("__id").agg(F.count(F.lit(1)).alias("own"))  # no candidates for their query
+    asked, held = queries.join(own, "__id").select("__id", "__v", "own").mapInArrow(route, keyed), placed.mapInArrow(deal, keyed)
     found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,3 +61,14 @@ def test_walk_reaches_every_leaf():
     x = rng.normal(size=(2000, 8))
     tree = ann.Tree(x, 50)
     assert sorted(tree.order(x[0], tree.leaves)) == list(range(tree.leaves)) and tree.order(x[0], 1) == [tree.assign(x[:1])[0]]
+
+
+def test_small_leaves_are_widened_until_they_hold_enough(spark):
+    rng = np.random.default_rng(9)
+    vectors = {i: np.float32(rng.normal(size=8)) for i in range(600)}
+    again = [(100, [float(v) for v in vectors[100]], 0, "l", "s")] * 15  # rows of the query's own id are no candidates
+    got = ann.k_nearest_neighbours(frame(spark, vectors, again), lambda c: c % 100 == 0, target=0.0, leaf_rows=8).collect()
+    ranks = {}
+    for r in got:
+        ranks.setdefault(r.query_id, set()).add(r["rank"])
+    assert ranks == {q: set(range(1, 11)) for q in range(0, 600, 100)}
