@@ -1,82 +1,124 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the character 4- and 5-grams of a text's distinct words (those whose share of P and U differs by
+A linear classifier over the byte 4- to 9-grams of a text's words (those whose share of P and U differs by
 three standard errors or more, scaled by that distance) is trained in numpy from confirmed toxic documents (P) and documents taken without their labels (U). With class prior p and logistic loss l, the risk is
 p E_P[l(s)] + max(0, E_U[l(-s)] - p E_P[l(-s)]): the second part stands for the risk on clean text, and as that
-can't be negative, steps that would make it so climb instead of descending. The prior is the share of toxic rows among
-training labels; a logistic curve, fitted on training labels that were kept out of P, turns scores into probabilities.
+can't be negative, steps that would make it so climb instead of descending. Labels of clean rows take no part in the risk. They do in two
+numbers around it: the prior is the share of toxic rows among training labels, and a logistic curve, fitted on training labels that were kept out of P, turns scores
+into probabilities.
 
-Labels are learnt from rows with crc32(id as text) mod 3 other than 1 only. Fitting uses bounded samples, drawn by hash:
-MAX_POSITIVE, MAX_UNLABELLED and MAX_CALIBRATION documents. Scoring reads every whole text.
+Words: the text in lower case, in UTF-8; ASCII letters and bytes from 128 on belong to words, and all else parts them. A gram lies within a word with a space
+at either end, and counts once for a text. Texts are hashed in numpy, many at once, in pieces of PIECE bytes: nothing is kept for each word.
+
+Labels are learnt from rows with crc32(id as text) mod 3 other than 1 only. Fitting uses bounded samples of distinct ids, drawn by hash:
+max_positive and max_calibration labelled documents and max_unlabelled others; of rows that share an id the text that sorts first counts. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the bias; ids that are null are never joined with
-labels and are not held out; a document labelled twice is toxic if either row says so; without a toxic training label
-every score is 0, without documents there are no rows; other columns are ignored (scores) or stay (kept documents).
+labels and are not held out; a document labelled twice is toxic if either row says so; repeated rows score alike and count once in fitting; very long texts are hashed
+piece by piece, none left out; without a toxic training label every score is 0, without documents there are no rows; other columns are ignored (scores) or stay (kept documents).
 """
 
 from __future__ import annotations
 
-import math
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import bounded_sample, table
+from strataloom.llm.common import bounded_sample, checkpointed, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 1500, 4000, 1200
-BITS, GRAMS, THRESHOLD = 18, (4, 5), 0.7
-WORD_CACHE = 50_000
-
-_word = re.compile(r"[^\W\d_]+")
-_grams: dict[str, np.ndarray] = {}
-
-
-def word_grams(word: str) -> np.ndarray:
-    found = _grams.get(word)
-    if found is None:
-        marked = f"^{word}$"
-        found = np.array([zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) & ((1 << BITS) - 1) for n in GRAMS for i in range(len(marked) - n + 1)], dtype=np.int32)
-        if len(_grams) >= WORD_CACHE:
-            _grams.clear()
-        if len(word) <= 64:
-            _grams[word] = found
-    return found
-
-
-def features(text: str | None) -> np.ndarray:
-    """The hashed grams of the text's distinct words, each once."""
-    words = set(_word.findall((text or "").lower()))
-    return np.unique(np.concatenate([word_grams(w) for w in words])) if words else np.empty(0, np.int32)
+BITS, GRAMS, THRESHOLD, PIECE = 20, (4, 9), 0.7, 1 << 19
+#: Partitions that count features; each gives two counts of every feature to the driver.
+COUNTERS = 4
+
+_letters = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_mix = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
+
+
+def padded(text: str | None) -> bytes:
+    """The text's words, each with at least one space at either end."""
+    return (" " + (text or "").lower() + " ").encode("utf-8", "replace").translate(_letters)
+
+
+def gram_places(data: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every gram of GRAMS[0] (four) to GRAMS[1] bytes of data that is known (by its hash). Byte 0 parts pieces: no gram holds it."""
+    n = len(data)
+    if n < 4:
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    cut = data == 0
+    part = cut | (data == 32)
+    raw = data[: n - 3].astype(np.uint32)
+    for k in (1, 2, 3):
+        raw |= data[k : n - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+    whole = ~(cut[: n - 3] | part[1 : n - 2] | part[2 : n - 1])
+    at, h = [], []
+    for size in range(GRAMS[0], GRAMS[1] + 1):
+        if size > GRAMS[0]:
+            if n < size:
+                break
+            raw = (raw[:-1] ^ (data[size - 1 :].astype(np.uint32) * _mix[1])) * _mix[2]
+            whole = whole[:-1] & ~part[size - 2 : -1]
+        hashed = (raw * _mix[0]) >> np.uint32(32 - BITS)
+        at.append(np.flatnonzero(known[hashed] & whole & ~cut[size - 1 :]))
+        h.append(hashed[at[-1]])
+    return np.concatenate(at), np.concatenate(h)
+
+
+def known_grams(texts, known: np.ndarray) -> np.ndarray:
+    """(number of the text << BITS | hash), sorted, for each known gram of each text once."""
+    found, pieces, of, size = [], [], [], 0
+
+    def flush():
+        at, h = gram_places(np.frombuffer(b"\0".join(pieces), dtype=np.uint8), known)
+        starts = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
+        text = np.array(of, dtype=np.int64)[np.searchsorted(starts, at, side="right") - 1]
+        found.append(np.unique(text << BITS | h.astype(np.int64)))
+
+    for i, t in enumerate(texts):
+        data = padded(t)
+        for start in range(0, len(data), PIECE):
+            pieces.append(data[start : start + PIECE + GRAMS[1] - 1])
+            of.append(i)
+            size += len(pieces[-1])
+            if size >= PIECE:
+                flush()
+                pieces, of, size = [], [], 0
+    if pieces:
+        flush()
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+
+def features(texts: list, known: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text its hashed grams (those that are known), each once."""
+    grams = known_grams(texts, np.ones(1 << BITS, dtype=bool) if known is None else known)
+    cuts = np.searchsorted(grams >> BITS, np.arange(1, len(texts)))
+    return [(g & ((1 << BITS) - 1)).astype(np.int32) for g in np.split(grams, cuts)]
 
 
 class Rows:
-    """Sparse rows; a feature weighs scale[feature], and one of scale 0 is left out."""
+    """Sparse rows; a feature weighs scale[feature], and one of scale 0 is left out: of the others, in order, weights are held."""
 
     def __init__(self, lists: list[np.ndarray], scale: np.ndarray):
+        place = np.cumsum(scale > 0) - 1
         lists = [x[scale[x] > 0] for x in lists]
-        self.n = len(lists)
-        self.at = np.concatenate(lists) if lists else np.empty(0, np.int32)
+        features = np.concatenate(lists) if lists else np.empty(0, np.int32)
+        self.n, self.size = len(lists), int((scale > 0).sum())
+        self.at, self.value = place[features], scale[features]
         self.of = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.value = scale[self.at]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, weights=w[self.at] * self.value, minlength=self.n)
 
-    def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.at, weights=g[self.of] * self.value, minlength=size)
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, weights=g[self.of] * self.value, minlength=self.size)
 
 
-def feature_scale(p: list[np.ndarray], u: list[np.ndarray], least: float = 3.0) -> np.ndarray:
-    """How many standard errors a feature's share of P lies from its share of U; 0 where that is fewer than least."""
-    size = 1 << BITS
-    np_, nu = (np.bincount(np.concatenate(x) if x else np.empty(0, np.int64), minlength=size) for x in (p, u))
-    share = (np_ + nu) / (len(p) + len(u))
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / len(p) + 1 / len(u)))
-    z = np.abs(np_ / len(p) - nu / len(u)) / error
+def feature_scale(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, least: float = 3.0) -> np.ndarray:
+    """How many standard errors a feature's share of P lies from its share of U (counts and sizes of both); 0 where that is fewer than least."""
+    share = (in_p + in_u) / (n_p + n_u)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_p + 1 / n_u))
+    z = np.abs(in_p / n_p - in_u / n_u) / error
     return np.where(z >= least, z, 0.0)
 
 
@@ -86,11 +128,11 @@ def sigmoid(x):
 
 def fit_nnpu(p: Rows, u: Rows, prior: float, steps: int = 300, decay: float = 1e-4, momentum: float = 0.9) -> tuple[np.ndarray, float]:
     """Weights (of scaled features) and bias that bring down the non-negative risk, by accelerated gradient steps on all rows."""
-    size = 1 << BITS
+    size = u.size
     w, step, bias, bias_step = np.zeros(size), np.zeros(size), np.log(prior / (1.0 - prior)), 0.0
     bend, x = 1.0, np.random.default_rng(0).normal(size=size)
     for _ in range(8):  # the largest curvature, by power iteration
-        x = prior * p.back(p.times(x), size) / p.n + u.back(u.times(x), size) / u.n
+        x = prior * p.back(p.times(x)) / p.n + u.back(u.times(x)) / u.n
         bend = float(np.linalg.norm(x)) or 1.0
         x /= bend
     rate = 1.0 / (0.25 * bend + decay)
@@ -103,7 +145,7 @@ def fit_nnpu(p: Rows, u: Rows, prior: float, steps: int = 300, decay: float = 1e
         toxic = prior * (sigmoid(sp) - 1.0) / p.n
         if clean < 0:
             gp, gu, toxic = -gp, -gu, np.zeros(p.n)
-        step = momentum * step - rate * (p.back(gp + toxic, size) + u.back(gu, size) + decay * ahead)
+        step = momentum * step - rate * (p.back(gp + toxic) + u.back(gu) + decay * ahead)
         bias_step = momentum * bias_step - min(rate, 2.0) * (gp.sum() + toxic.sum() + gu.sum())
         w, bias = w + step, bias + bias_step
     return w, float(bias)
@@ -138,70 +180,88 @@ class Model:
     """Weights of grams, bias, and the curve from scores to probabilities."""
 
     def __init__(self, w: np.ndarray, bias: float, a: float, b: float, known: bool = True):
-        self.w, self.bias, self.a, self.b, self.known = w.astype(np.float32), bias, a, b, known
-        self.of_word: dict[str, tuple] = {}
-
-    def weighing(self, word: str) -> tuple:
-        """The word's grams that bear a weight: few words have any."""
-        found = self.of_word.get(word)
-        if found is None:
-            found = tuple(g for g in word_grams(word).tolist() if self.w[g])
-            if len(self.of_word) >= WORD_CACHE:
-                self.of_word.clear()
-            if len(word) <= 64:
-                self.of_word[word] = found
-        return found
+        self.w, self.bias, self.a, self.b, self.known = w.astype(np.float64), bias, a, b, known
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list) -> np.ndarray:
         if not self.known:
-            return 0.0
-        grams: set[int] = set()
-        for word in set(_word.findall((text or "").lower())):
-            grams.update(self.weighing(word))
-        s = math.fsum(self.w[g] for g in grams) + self.bias
-        return float(sigmoid(self.a * s + self.b))
+            return np.zeros(len(texts))
+        grams = known_grams(texts, self.w != 0)
+        s = np.bincount(grams >> BITS, weights=self.w[grams & ((1 << BITS) - 1)], minlength=len(texts)) + self.bias
+        return sigmoid(self.a * s + self.b)
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
 
 def remainder(id_col):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from docs and labels(doc_id, toxic); see the bounds above."""
-    ids = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull() & (remainder(F.col("__id")) != 1))
+def drawn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, max_calibration: int, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """use (p, u or c), a place, y and text of the documents to fit with, no more than the bounds of each use, and the prior (0: no toxic label)."""
+    ids = docs.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull() & (remainder(F.col("__id")) != 1)).distinct()
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & (remainder(F.col("__id")) != 1))
-    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).join(ids.distinct(), "__id", "left_semi")
-    aside = F.xxhash64("__id", F.lit(4)) % 4 == 0  # for the curve
+    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).join(ids, "__id", "left_semi")
+    aside = F.xxhash64("__id", F.lit(4)) % 4 == 0  # a quarter of the labels, for the curve
     order = F.xxhash64("__id", F.lit(9))
     n, prior = known.agg(F.count(F.lit(1)), F.avg("__y")).first()
-    if not prior:
-        return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0, known=False)
 
     def pick(rows, use, total, bound):
-        return bounded_sample(rows, total, bound, order).select("__id", F.lit(use).alias("__use"), F.col("__y") if "__y" in rows.columns else F.lit(0).alias("__y"))
+        return bounded_sample(rows, total, bound, order).select("__id", F.lit(use).alias("__use"), F.col("__y").cast("int").alias("__y") if "__y" in rows.columns else F.lit(0).alias("__y"))
+
+    wanted = pick(known.where((F.col("__y") == 1) & ~aside), "p", int((n or 0) * (prior or 0) * 3 // 4), max_positive)
+    wanted = wanted.union(pick(ids, "u", ids.count(), max_unlabelled)).union(pick(known.where(aside), "c", (n or 0) // 4, max_calibration))
+    # at most max_positive + max_unlabelled + max_calibration rows
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted.select("__id").distinct()), "__id")
+    texts = found.groupBy("__id").agg(F.min("__text").alias("__text"))
+    return texts.join(F.broadcast(wanted), "__id").select("__use", order.alias("__at"), "__y", "__text"), float(prior or 0)
 
-    # aside takes a quarter of the labels
-    wanted = pick(known.where((F.col("__y") == 1) & ~aside), "p", int(n * prior * 3 // 4), MAX_POSITIVE).union(pick(ids, "u", ids.count(), MAX_UNLABELLED)).union(pick(known.where(aside), "c", n // 4, MAX_CALIBRATION))
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_calibration: int = MAX_CALIBRATION) -> Model:
+    """A model from docs and labels(doc_id, toxic). It is fitted on max_positive toxic, max_unlabelled unlabelled and max_calibration labelled documents at most."""
+    texts, prior = drawn(docs, labels, max_positive, max_unlabelled, max_calibration, id_col, text_col)
+    if not prior:
+        return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0, known=False)
     prior = min(max(prior, 1e-4), 0.9)
 
+    def count(batches):
+        sums, n = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0]
+        for batch in batches:
+            for part in (batch.slice(at, 32) for at in range(0, batch.num_rows, 32)):
+                for k, f in zip(part.column(0).to_pylist(), features(part.column(3).to_pylist())):
+                    if k in ("p", "u"):
+                        sums["pu".index(k), f] += 1
+                        n["pu".index(k)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+
+    # COUNTERS rows of 2^BITS counts each
+    texts = checkpointed(texts)
+    counts = texts.coalesce(COUNTERS).mapInArrow(count, "n array<long>, sums binary").collect()
+    sums = np.zeros((2, 1 << BITS), dtype=np.int64)
+    for r in counts:
+        sums += np.frombuffer(r["sums"], dtype=np.int32).reshape(2, -1)
+    n_p, n_u = (sum(r["n"][k] for r in counts) for k in (0, 1))
+    if not n_p or not n_u:
+        return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))), 1.0, 0.0)
+    scale = feature_scale(sums[0], sums[1], n_p, n_u)
+    known = scale > 0
+
     def run(batches):
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([features(t.as_py()) for t in part.column(2)], pa.list_(pa.int32()))], names=["use", "y", "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(features(batch.column(3).to_pylist(), known), pa.list_(pa.int32()))], names=["use", "at", "y", "f"])
 
-    # at most MAX_POSITIVE + MAX_UNLABELLED + MAX_CALIBRATION ids
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted), "__id").select("__use", F.col("__y").cast("int").alias("__y"), "__text")
-    got = texts.mapInArrow(run, "use string, y int, f array<int>").toArrow().combine_chunks()
+    got = texts.mapInArrow(run, "use string, at long, y int, f array<int>").toArrow().sort_by([("use", "ascending"), ("at", "ascending")]).combine_chunks()
     use, y = np.array(got.column("use").to_pylist(), dtype=object), np.array(got.column("y").to_pylist(), dtype=np.int64)
     lists = [x.values.to_numpy(zero_copy_only=False) for x in got.column("f")]
     of = {kind: [lists[k] for k in np.flatnonzero(use == kind)] for kind in "puc"}
-    if not of["p"] or not of["u"]:
-        return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))), 1.0, 0.0)
-    scale = feature_scale(of["p"], of["u"])
+    if any(len(of[kind]) > bound for kind, bound in (("p", max_positive), ("u", max_unlabelled), ("c", max_calibration))):
+        raise AssertionError("a sample is beyond its bound")
     p, u, c = (Rows(of[kind], scale) for kind in "puc")
     w, bias = fit_nnpu(p, u, prior)
     a, b = fit_curve(c.times(w) + bias, y[use == "c"])
-    return Model(w * scale, bias, a, b)
+    weights = np.zeros(1 << BITS)
+    weights[known] = w * scale[known]
+    return Model(weights, bias, a, b)
 
 
 def scored(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -211,7 +271,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str], text_col: str = "tex
     def run(batches):
         for batch in batches:
             n = batch.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([model.score(t.as_py()) for t in batch.column(n)], pa.float64())], names=[*batch.schema.names[:n], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(model.scores(batch.column(n).to_pylist()), pa.float64())], names=[*batch.schema.names[:n], "score"])
 
     return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["score double"]))
 
