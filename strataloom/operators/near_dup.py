@@ -3,6 +3,8 @@
 A document is removed if an earlier one shares a band with it and their sketches agree in threshold of their places or more; a removed one
 removes others all the same, so the result is a join and not a scan in order.
 
+A sketch is made within the row that holds the text: only sketches are shuffled.
+
 Documents of equal sketch are one sketch here: all but the first go, and only that one meets others. A band bucket
 therefore holds distinct sketches, and a document leaves it with the smallest partner that it has: links aren't kept.
 """
@@ -19,44 +21,55 @@ from pyspark.sql.types import ArrayType, LongType
 
 from strataloom.functions.text import squeeze
 
+#: Runs whose hashes a Python worker keeps (64 longs each).
+REMEMBERED = 50_000
 
-def shingles(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, s: the distinct runs of k bytes (as hex) of the squeezed, lower-cased text; the whole of a shorter one.
 
-    The bytes are a column of their own: as an expression within the lambda they would be made anew for every run.
-    """
-    rows = docs.select(id_col, F.encode(F.lower(squeeze(F.col(text_col))), "UTF-8").alias("__b"))
-    last = F.greatest(F.length("__b") - k + 1, F.lit(1))
-    return rows.select(id_col, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.hex(F.substring("__b", i, k))))).alias("s"))
+def text_bytes(text: Column) -> Column:
+    """What shingles are cut from: the squeezed, lower-cased text in UTF-8."""
+    return F.encode(F.lower(squeeze(text)), "UTF-8")
+
+
+def runs(data: Column, k: int = 5) -> Column:
+    """The runs of k bytes (as hex) of data; the whole of a shorter one."""
+    last = F.greatest(F.length(data) - k + 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.hex(F.substring(data, i, k)))
 
 
-def blake2_sketches(permutations: int = 64):
-    """An Arrow UDF: for each shingle (hex) its 64-bit hashes, one for each seed, less 2^63 so that signed order is unsigned order."""
+def blake2_sketches(permutations: int = 64, k: int = 5):
+    """An Arrow UDF from a text's bytes to its sketch: for each seed the smallest 64-bit hash of its runs of k bytes, less 2^63 so that signed order is unsigned order.
+
+    Hashes of the runs met last are kept, REMEMBERED of them, so a run that many texts share is hashed once.
+    """
     prefixes = [seed.to_bytes(4, "little") for seed in range(permutations)]
+    known: dict[bytes, np.ndarray] = {}
+
+    def hashes(run: bytes) -> np.ndarray:
+        found = known.get(run)
+        if found is None:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            found = known[run] = np.frombuffer(b"".join(hashlib.blake2b(p + run, digest_size=8).digest() for p in prefixes), "<u8")
+        return found
 
     @F.pandas_udf(ArrayType(LongType()))
-    def run(shingles: pd.Series) -> pd.Series:
-        def one(x):
-            data = bytes.fromhex(x)
-            raw = b"".join(hashlib.blake2b(p + data, digest_size=8).digest() for p in prefixes)
-            return (np.frombuffer(raw, "<u8") ^ np.uint64(1 << 63)).view("<i8")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(data):
+            data, least = bytes(data), None
+            distinct = list({data[i : i + k] for i in range(max(1, len(data) - k + 1))})
+            for at in range(0, len(distinct), 512):
+                some = np.stack([hashes(r) for r in distinct[at : at + 512]]).min(axis=0)
+                least = some if least is None else np.minimum(least, some)
+            return (least ^ np.uint64(1 << 63)).view("<i8")
 
-        return shingles.map(one)
+        return texts.map(one)
 
     return run
 
 
-def least_by_place(rows: DataFrame, id_col: str, hashes: str, n: int) -> DataFrame:
-    """id, sketch: the smallest hash at each place, by partial aggregation."""
-    mins = rows.groupBy(id_col).agg(*[F.min(F.col(hashes)[i]).alias(f"__m{i}") for i in range(n)])
-    return mins.select(id_col, F.array(*[f"__m{i}" for i in range(n)]).alias("sketch"))
-
-
 def exact_sketches(docs: DataFrame, permutations: int = 64, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """Sketches of BLAKE2 hashes; every distinct shingle is hashed once and joined back."""
-    runs = shingles(docs, k, id_col, text_col)
-    hashed = runs.select("s").distinct().withColumn("h", blake2_sketches(permutations)(F.col("s")))
-    return least_by_place(runs.join(hashed, "s"), id_col, "h", permutations)
+    """id, sketch of BLAKE2 hashes, made where a text is read."""
+    return docs.select(id_col, blake2_sketches(permutations, k)(text_bytes(F.col(text_col))).alias("sketch"))
 
 
 # Fixed prime above 2^32, for hashes of the form (v a + c) mod p with v below 2^32.
@@ -69,10 +82,17 @@ def linear_coefficients(n: int) -> list[tuple[int, int]]:
 
 
 def native_sketches(docs: DataFrame, permutations: int = 16, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """Sketches without Python: linear hashes of the first 32 bits of each shingle's MD5."""
-    hashed = shingles(docs, k, id_col, text_col).select(id_col, F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long").alias("v"))
-    mins = hashed.groupBy(id_col).agg(*[F.min((F.col("v") * a + c) % PRIME).alias(f"__m{i}") for i, (a, c) in enumerate(linear_coefficients(permutations))])
-    return mins.select(id_col, F.array(*[f"__m{i}" for i in range(permutations)]).alias("sketch"))
+    """id, sketch without Python: linear hashes of the first 32 bits of the MD5 of each run, made where a text is read.
+
+    Bytes and hashes are columns of their own that are used more than once, so they are made once and not for every run.
+    """
+    rows = docs.select(id_col, text_bytes(F.col(text_col)).alias("__b"))
+    hashed = rows.select(id_col, F.transform(F.array_distinct(runs(F.col("__b"), k)), lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")).alias("__v"))
+
+    def least(a, c):
+        return F.array_min(F.transform("__v", lambda v: (v * a + c) % PRIME))
+
+    return hashed.select(id_col, F.array(*[least(a, c) for a, c in linear_coefficients(permutations)]).alias("sketch"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -94,7 +114,14 @@ def removed_ids(sketches: DataFrame, bands: int, threshold: float, permutations:
     return equal.union(near).distinct()
 
 
+def kept_aside(df: DataFrame) -> DataFrame:
+    """df, made once for all that reads it: written to the checkpoint folder if there is one, else persisted."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return df.checkpoint() if shared else df.persist()
+
+
 def near_dedup(docs: DataFrame, threshold: float = 0.8, permutations: int = 64, bands: int = 8, native: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that removed_ids names."""
-    sketches = (native_sketches if native else exact_sketches)(docs, permutations, id_col, text_col)
+    sketches = kept_aside((native_sketches if native else exact_sketches)(docs, permutations, id_col, text_col))
     return docs.join(removed_ids(sketches, bands, threshold, permutations, id_col), id_col, "left_anti")
