@@ -25,6 +25,31 @@ END_OF_TEXT = "<|endoftext|>"
 REMEMBERED = 200_000
 
 
+def merged_parts(data: bytes, ranks: dict) -> list[bytes]:
+    """data's bytes, joined by the pair of the lowest rank (the leftmost of equal ones) until no pair has a rank.
+
+    Parts are linked with their neighbours and pairs wait in a heap, so a piece of n bytes takes n log n steps.
+    """
+    parts: list = [bytes([b]) for b in data]
+    after = [*range(1, len(parts)), -1] if parts else []
+    before = list(range(-1, len(parts) - 1))
+    heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (rank := ranks.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i] if parts[i] == a else -1
+        if j < 0 or parts[j] != b:  # one of them has been joined meanwhile
+            continue
+        parts[i], parts[j] = a + b, None
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right >= 0 and (rank := ranks.get((parts[left], parts[right]))) is not None:
+                heapq.heappush(heap, (rank, left, parts[left], parts[right]))
+    return [p for p in parts if p is not None]
+
+
 @dataclass
 class Tokenizer:
     """vocab: the bytes of each id; merges in order of rank; special tokens are matched exactly before anything else."""
@@ -56,13 +81,7 @@ class Tokenizer:
     def merge_piece(self, piece: str) -> list[int]:
         found = self._known.get(piece)
         if found is None:
-            parts = [bytes([b]) for b in piece.encode("utf-8", "replace")]
-            while len(parts) > 1:
-                rank, at = min((self.ranks.get((a, b), len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-                if rank == len(self.ranks):
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            found = [self.ids[p] for p in parts]
+            found = [self.ids[p] for p in merged_parts(piece.encode("utf-8", "replace"), self.ranks)]
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[piece] = found
@@ -155,7 +174,10 @@ class _Top:
 
 def learn_merges(counts, vocab_size: int, specials: list[str]) -> Tokenizer:
     """From (pre-token bytes, count) to a tokenizer: the most frequent pair is merged again and again; of equal ones the larger."""
-    vocab = [bytes([b]) for b in range(256)] + [s.encode() for s in specials]
+    vocab = [bytes([b]) for b in range(256)]
+    for s in specials:
+        if s.encode() not in vocab:
+            vocab.append(s.encode())
     merges, words = [], _Words(counts)
     heap = [_Top(n, p) for p, n in words.total.items()]
     heapq.heapify(heap)
@@ -202,10 +224,30 @@ def decoder(tokenizer: Tokenizer):
     return run
 
 
+def evaluation(docs: DataFrame, tokenizer: Tokenizer, split: Column, text_col: str = "text") -> DataFrame:
+    """The quality report of a tokenizer. A text is encoded and decoded in one go, and only its number of tokens and whether it came back leave Python."""
+
+    @F.pandas_udf("t int, ok boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for t in texts:
+            ids = tokenizer.encode(t)
+            found.append((len(ids), tokenizer.decode(ids) == t))
+        return pd.DataFrame(found, columns=["t", "ok"])
+
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    coded = docs.withColumn("__coded", run(t))
+    return _report(coded, t, F.col("__coded.t"), F.col("__coded.ok"), split)
+
+
 def quality_report(docs: DataFrame, tokens: Column, back: Column, split: Column, text_col: str = "text") -> DataFrame:
     """For each split, and for all documents together ('overall'): sizes, tokens_per_byte, chars_per_token, fertility and round_trip_rate."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(split.alias("split"), F.length(t).alias("c"), F.octet_length(t).alias("b"), word_count(t).alias("w"), F.size(tokens).alias("t"), (back == t).cast("int").alias("ok"))
+    return _report(docs, t, F.size(tokens), back == t, split)
+
+
+def _report(docs: DataFrame, t: Column, n_tokens: Column, same: Column, split: Column) -> DataFrame:
+    rows = docs.select(split.alias("split"), F.length(t).alias("c"), F.octet_length(t).alias("b"), word_count(t).alias("w"), n_tokens.alias("t"), same.cast("int").alias("ok"))
     total = lambda c: F.sum(c).cast("long")
     sums = rows.rollup("split").agg(F.count(F.lit(1)).alias("n_docs"), total("c").alias("n_chars"), total("b").alias("n_bytes"), total("t").alias("n_tokens"), total("w").alias("n_words"), total("ok").alias("n_ok"), F.grouping("split").alias("g"))
     return sums.select(

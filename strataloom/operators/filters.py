@@ -34,10 +34,11 @@ def usable_pair(instruction: Column, output: Column, max_output: int = 2000, max
 
 def first_of_equal(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row in order of each key. Keys and orders are grouped alone - the smallest order of a key is found by partial aggregation,
-    so a key with most rows costs no task more - and only then rows are looked up; of rows that share key and order, one stays."""
+    so a key with most rows costs no task more - and only then rows are looked up; of rows that share key and order, one stays.
+    Null is a key like any other; a null order comes after all others."""
     rows = df.withColumn("__key", key)
     first = rows.groupBy("__key").agg(F.min(order).alias("__first"))
-    kept = rows.join(first, (rows["__key"] == first["__key"]) & (rows[order] == first["__first"]), "left_semi")
+    kept = rows.join(first, rows["__key"].eqNullSafe(first["__key"]) & rows[order].eqNullSafe(first["__first"]), "left_semi")
     return kept.dropDuplicates(["__key"]).drop("__key")
 
 
@@ -47,8 +48,9 @@ def exact_dedup(docs: DataFrame, order: str = "doc_id", text: Column | None = No
 
 
 def dedup_counters(docs: DataFrame, min_chars: int = 20, text_col: str = "text") -> DataFrame:
-    """docs_kept, duplicates_removed, too_short_removed, total_chars. What is too short is never a duplicate."""
-    sized = docs.select(F.sha2(text_col, 256).alias("h"), F.length(text_col).alias("n"))
+    """docs_kept, duplicates_removed, too_short_removed, total_chars. What is too short is never a duplicate; a null text is an empty one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = docs.select(F.sha2(text, 256).alias("h"), F.length(text).alias("n"))
     short = F.col("n") < min_chars
     groups = sized.groupBy("h", "n").agg(F.count(F.lit(1)).alias("c"))
     total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
