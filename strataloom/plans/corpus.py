@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strataloom.functions import hashing, pii, text, tokens
-from strataloom.operators import bpe, filters, near_dup, ordering, splitting
+from strataloom.operators import bpe, corpus, filters, near_dup, ordering, splitting
 from strataloom.sources import files, sinks
 
 QUERIES: dict = {}
@@ -44,6 +44,8 @@ def scratch(spark, name: str) -> str:
     if not folder:
         import tempfile
 
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="strataloom-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -71,8 +73,8 @@ def window_slice(spark, sf_dir):
 
 @query("SELECT doc_id, length(text)::BIGINT AS chars FROM (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM documents) WHERE spent < 400000")
 def char_budget(spark, sf_dir):
-    docs = ordering.within_budget(documents(spark, sf_dir), F.length("text"), "doc_id", ordering.char_budget(100_000))
-    return docs.select("doc_id", F.length("text").cast("long").alias("chars"))
+    sized = documents(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return ordering.within_budget(sized, F.col("chars"), "doc_id", ordering.char_budget(100_000))
 
 
 @query(f"SELECT doc_id, n AS tokens FROM (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT doc_id, len({PRETOKENS}) AS n FROM documents)) WHERE spent < 100000")
@@ -119,9 +121,16 @@ def normalize_native(spark, sf_dir):
     return normal.select("doc_id", F.sha2("t", 256).alias("sha256"), F.length("t").cast("long").alias("chars"))
 
 
-@query(f"SELECT doc_id, sha256({NORMAL}) AS sha256, length({NORMAL})::BIGINT AS chars FROM (SELECT doc_id, text AS t FROM documents)")
+# What NFKC makes of the characters put in: ligature, full-width, superscript, circled, Roman, a letter and its accent, unit signs, no-break space.
+COMPOSED = {"\ufb01": "fi", "\uff21": "A", "\u00b2": "2", "\u2460": "1", "\u2163": "IV", "e\u0301": "\u00e9", "\u212b": "\u00c5", "\u33a2": "km2", "\u00a0": " "}
+_BEFORE, _AFTER = (" ".join(f"x{c}y" for c in side) for side in (COMPOSED, COMPOSED.values()))
+
+
+@query(f"SELECT doc_id, sha256({NORMAL}) AS sha256, length({NORMAL})::BIGINT AS chars FROM (SELECT doc_id, concat('{_AFTER} ', text, chr(10), '{_AFTER}') AS t FROM documents)")
 def normalize_nfkc(spark, sf_dir):
-    normal = documents(spark, sf_dir).select("doc_id", text.normalize(F.col("text")).alias("t"))
+    """Documents with characters put in that NFKC changes; the SQL has what they become."""
+    t = F.concat(F.lit(f"{_BEFORE} "), F.col("text"), F.lit(f"\n{_BEFORE}"))
+    normal = documents(spark, sf_dir).select("doc_id", text.normalize(t).alias("t"))
     return normal.select("doc_id", F.sha2("t", 256).alias("sha256"), F.length("t").cast("long").alias("chars"))
 
 
@@ -295,8 +304,7 @@ def bpe_encode(spark, sf_dir):
 def tokenizer_eval(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = bpe.train(docs, VOCABULARY)
-    coded = docs.withColumn("ids", bpe.encoder(model)(F.col("text"))).withColumn("back", bpe.decoder(model)(F.col("ids")))
-    return bpe.quality_report(coded, F.col("ids"), F.col("back"), F.when(text.looks_like_code(F.col("text")), "code").otherwise("prose"))
+    return bpe.evaluation(docs, model, F.when(text.looks_like_code(F.col("text")), "code").otherwise("prose"))
 
 
 # Without a backslash, pieces give back the text whatever the vocabulary, so what comes out is known.
@@ -335,7 +343,13 @@ def split_on_mark(spark, sf_dir):
     return docs.select("doc_id", F.sha2("d", 256).alias("sha256"))
 
 
-@query()
+_PRINT = """h AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS p, sha256(text) AS h FROM documents), c AS (SELECT p // 10000 AS c, sha256(string_agg(h, '' ORDER BY p)) AS h FROM h GROUP BY 1),
+f AS (SELECT sha256(string_agg(h, '' ORDER BY c)) AS corpus_sha256 FROM c)"""
+
+
+@query(f"""WITH {_PRINT}, d AS (SELECT text, length(text) AS n, count(*) AS c FROM documents GROUP BY text),
+s AS (SELECT count(*) FILTER (n >= 20) AS kept, coalesce(sum(c - 1) FILTER (n >= 20), 0)::BIGINT AS again, coalesce(sum(c) FILTER (n < 20), 0)::BIGINT AS short, coalesce(sum(n) FILTER (n >= 20), 0)::BIGINT AS chars FROM d)
+SELECT concat('{{"corpus_sha256":"', corpus_sha256, '","docs_kept":', kept, ',"duplicates_removed":', again, ',"filters":"exact_dedup_sha256","name":"corpus","too_short_removed":', short, ',"total_chars":', chars, ',"version":"1"}}') AS manifest FROM f, s""")
 def corpus_manifest(spark, sf_dir):
     """One row of JSON: counters, and the fingerprint of the corpus in order."""
     docs = documents(spark, sf_dir)
@@ -343,7 +357,94 @@ def corpus_manifest(spark, sf_dir):
     return sinks.manifest(values, name="corpus", version="1", filters="exact_dedup_sha256")
 
 
-@query("""WITH h AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS p, sha256(text) AS h FROM documents), c AS (SELECT p // 10000 AS c, sha256(string_agg(h, '' ORDER BY p)) AS h FROM h GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY c)) AS corpus_sha256 FROM c""")
+@query(f"WITH {_PRINT} SELECT corpus_sha256 FROM f")
 def corpus_fingerprint(spark, sf_dir):
     return sinks.fingerprint(documents(spark, sf_dir), "doc_id")
+
+
+# --- the corpus build
+
+
+def chunks(spark, sf_dir):
+    """Documents whose texts differ in spaces, controls and line ends, so that some are equal in normal form only."""
+    t = F.concat(F.repeat(F.lit("\n"), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text")), F.when(F.col("doc_id") % 5 == 0, F.lit("\x01 \t")).otherwise(""))
+    return documents(spark, sf_dir).select("doc_id", t.alias("text"), (F.col("doc_id") % 7).alias("file"))
+
+
+_CHUNKS = "SELECT doc_id, concat(repeat(chr(10), CAST(doc_id % 3 AS INTEGER)), CASE WHEN doc_id % 2 = 0 THEN replace(text, ' ', '  ') ELSE text END, CASE WHEN doc_id % 5 = 0 THEN concat(chr(1), ' ', chr(9)) ELSE '' END) AS t FROM documents"
+_BUILT = f"n AS (SELECT doc_id, {NORMAL} AS text FROM ({_CHUNKS})), built AS (SELECT min(doc_id) AS doc_id, text FROM n WHERE length(text) >= 20 GROUP BY text)"
+
+
+@query(f"WITH {_BUILT} SELECT doc_id, sha256(text) AS sha256, length(text)::BIGINT AS chars FROM built")
+def corpus_build(spark, sf_dir):
+    """Normal form, minimum length, first of equal normal forms."""
+    built = corpus.build_corpus(chunks(spark, sf_dir), "doc_id")
+    return built.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""WITH {_BUILT} SELECT (SELECT count(*) FROM built) AS docs_kept, count(*) FILTER (length(text) >= 20) - (SELECT count(*) FROM built) AS duplicates_removed,
+  count(*) FILTER (length(text) < 20) AS too_short_removed, (SELECT sum(length(text)) FROM built)::BIGINT AS total_chars, count(DISTINCT doc_id % 7) AS files_read FROM n""")
+def corpus_build_counters(spark, sf_dir):
+    return corpus.build_counters(chunks(spark, sf_dir), file_col="file")
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars FROM (SELECT doc_id, text, sum(length(text) + 2) OVER (ORDER BY doc_id) - 2 AS ends FROM documents) WHERE ends <= 300000")
+def head_sample(spark, sf_dir):
+    """Whole documents from the head of the corpus: the limit is the feature here."""
+    return corpus.head_sample(documents(spark, sf_dir), "doc_id", 300_000).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+# --- merges of a small vocabulary, which a recursive query learns too
+
+SMALL = 288
+_LEARNT = f"""words AS (SELECT hex(encode(p)) AS h, count(*) AS n FROM (SELECT unnest({PRETOKENS}) AS p FROM documents) GROUP BY p),
+w(step, h, x, n, l, r) AS (
+  SELECT 0, h, regexp_replace(h, '(..)', '<\\1>', 'g'), n, NULL::VARCHAR, NULL::VARCHAR FROM words
+  UNION ALL
+  SELECT step + 1, h, replace(x, concat('<', b.l, '><', b.r, '>'), concat('<', b.l, b.r, '>')), n, b.l, b.r
+  FROM w, (SELECT split_part(p, '><', 1) AS l, split_part(p, '><', 2) AS r FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: concat(t[i], '><', t[i + 1]))) AS p, n FROM (SELECT string_split(x[2:-2], '><') AS t, n FROM w)) GROUP BY p ORDER BY sum(n) DESC, l DESC, r DESC LIMIT 1) b
+  WHERE step < {SMALL - 257})"""
+_CODED = f"""{_LEARNT},
+ids AS (SELECT printf('%02X', i) AS token, i AS id FROM range(256) t(i) UNION ALL SELECT DISTINCT concat(l, r), 256 + step FROM w WHERE step > 0),
+coded AS (SELECT h, list(id ORDER BY p) AS ids FROM (SELECT h, unnest(string_split(x[2:-2], '><')) AS token, generate_subscripts(string_split(x[2:-2], '><'), 1) AS p FROM w WHERE step = {SMALL - 257}) JOIN ids USING (token) GROUP BY h),
+places AS (SELECT doc_id, generate_subscripts(t, 1) AS p, hex(encode(unnest(t))) AS h FROM (SELECT doc_id, {PRETOKENS} AS t FROM documents)),
+texts AS (SELECT doc_id, flatten(list(ids ORDER BY p)) AS ids FROM places JOIN coded USING (h) GROUP BY doc_id)"""
+
+
+@query(f'WITH RECURSIVE {_LEARNT} SELECT DISTINCT step - 1 AS rank, l AS "left", r AS "right" FROM w WHERE step > 0')
+def bpe_train_small(spark, sf_dir):
+    merges = bpe.train(documents(spark, sf_dir), SMALL).tables(spark)[1]
+    return merges.select(F.col("rank"), F.hex("left").alias("left"), F.hex("right").alias("right"))
+
+
+@query(f"WITH RECURSIVE {_CODED} SELECT doc_id, len(ids) AS n_tokens, md5(array_to_string(ids, ',')) AS ids_md5 FROM texts")
+def bpe_encode_small(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    ids = bpe.encoder(bpe.train(docs, SMALL))(F.col("text"))
+    return docs.select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.concat_ws(",", "ids")).alias("ids_md5"))
+
+
+_REPORTED = f"""d AS (SELECT CASE WHEN contains(text, 'def ') OR contains(text, 'import ') OR (contains(text, '(') AND contains(text, ')')) THEN 'code' ELSE 'prose' END AS kind, length(text) AS c, strlen(text) AS b,
+  coalesce(len(ids), 0) AS t, len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS w, (NOT contains(text, chr(92)))::INT AS ok FROM documents LEFT JOIN texts USING (doc_id)),
+s AS (SELECT coalesce(kind, 'overall') AS split, count(*) AS n_docs, sum(c)::BIGINT AS n_chars, sum(b)::BIGINT AS n_bytes, sum(t)::BIGINT AS n_tokens, sum(w) AS n_words, sum(ok) AS ok FROM d GROUP BY GROUPING SETS ((kind), ()))"""
+
+
+@query(f"WITH RECURSIVE {_CODED}, {_REPORTED} SELECT split, n_docs, n_chars, n_bytes, n_tokens, round(n_tokens / n_bytes, 9) AS tokens_per_byte, round(n_chars / n_tokens, 9) AS chars_per_token, round(n_tokens / n_words, 9) AS fertility, round(ok / n_docs, 9) AS round_trip_rate FROM s")
+def tokenizer_eval_small(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    report = bpe.evaluation(docs, bpe.train(docs, SMALL), F.when(text.looks_like_code(F.col("text")), "code").otherwise("prose"))
+    return report.select(*[F.round(c, 9).alias(c) if k == "double" else c for c, k in report.dtypes])
+
+
+_PACK_TOKENS = f"""{_CODED}, e AS (SELECT doc_id, CASE WHEN {BUCKET} < 50 THEN 'val' ELSE 'train' END AS split, list_append(coalesce(ids, []), 256) AS toks FROM documents LEFT JOIN texts USING (doc_id)),
+u AS (SELECT split, doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM e),
+o AS (SELECT split, tok, row_number() OVER (PARTITION BY split ORDER BY doc_id, p) - 1 AS pos, count(*) OVER (PARTITION BY split) AS n FROM u),
+l AS (SELECT split, pos // 64 AS block, pos, tok, lead(tok) OVER (PARTITION BY split ORDER BY pos) AS label, n FROM o)"""
+
+
+@query(f"WITH RECURSIVE {_PACK_TOKENS} SELECT split, block, md5(string_agg(tok::VARCHAR, ',' ORDER BY pos)) AS input_ids, md5(string_agg(label::VARCHAR, ',' ORDER BY pos)) AS labels FROM l WHERE block < (n - 1) // 64 GROUP BY split, block")
+def pack_tokenized(spark, sf_dir):
+    """Texts to ids of a vocabulary learnt from them, with an end mark, to blocks by split."""
+    docs = documents(spark, sf_dir)
+    blocks = corpus.pack_corpus(docs.select("doc_id", "text"), bpe.train(docs, SMALL), 64, "doc_id")
+    return blocks.select("split", "block", F.md5(F.concat_ws(",", "input_ids")).alias("input_ids"), F.md5(F.concat_ws(",", "labels")).alias("labels"))

@@ -51,20 +51,20 @@ SELECT split, shard::INTEGER AS shard, count(*) AS rows, (count(*) * {SEQ})::BIG
 def shard_manifest(spark, sf_dir):
     """Blocks written as shards; the index that was read back from them."""
     blocks = packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"])
-    return sinks.write_shards(blocks, scratch(spark, "shards"), 4096, {"seq_len": SEQ})
+    return sinks.write_shards(blocks, scratch(spark, "shards"), 4096, {"seq_len": SEQ}, gapless=True)
 
 
 @query(f"{_PACKED}, r AS (SELECT DISTINCT split, block // 4096 AS shard FROM b) SELECT split, shard::INTEGER AS shard, true AS ok FROM r")
 def shard_verify(spark, sf_dir):
     folder = scratch(spark, "shards")
-    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 4096)
+    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 4096, gapless=True)
     return sinks.verify_shards(spark, folder)
 
 
 @query(f"{_PACKED} SELECT block, block AS place, md5(i) AS input_ids FROM b WHERE split = 'val'")
 def load_shards(spark, sf_dir):
     folder = scratch(spark, "shards")
-    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 64)
+    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 64, gapless=True)
     return files.load_sharded(spark, folder, "val").select("block", "place", digest("input_ids").alias("input_ids"))
 
 
@@ -138,7 +138,10 @@ def sft_pack_counts(spark, sf_dir):
     return blocks.agg(F.count_if(~F.col("dropped")).alias("blocks"), F.count_if("dropped").alias("dropped_all_masked"))
 
 
-@query()
+_ESCAPED = lambda c: f"array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN x IN ('\"', chr(92)) THEN concat(chr(92), x) WHEN unicode(x) BETWEEN 32 AND 127 THEN x WHEN unicode(x) < 65536 THEN concat(chr(92), 'u', printf('%04x', unicode(x))) ELSE concat(chr(92), 'u', printf('%04x', 55296 + (unicode(x) - 65536) // 1024), chr(92), 'u', printf('%04x', 56320 + (unicode(x) - 65536) % 1024)) END), '')"
+
+
+@query(f"""{_PAIRS}, k AS (SELECT ord, concat('{{"input": "", "instruction": "', {_ESCAPED('instruction')}, '", "output": "', {_ESCAPED('output')}, '"}}') AS text FROM pairs) SELECT ord, CASE WHEN {BUCKET} < 200 THEN 'val' ELSE 'train' END AS split FROM k""")
 def sft_split(spark, sf_dir):
     """Pairs split by the hash of their JSON with sorted keys."""
     keyed = sft(spark, sf_dir).withColumn("key", instruction.canonical_json(F.col("instruction"), F.col("input"), F.col("output")))
@@ -283,3 +286,22 @@ def stream_budget(spark, sf_dir):
     streams.run_with_budget(_stream(spark, sf_dir), f"{folder}/out", f"{folder}/state", "doc_id", 400_000)
     return spark.read.parquet(f"{folder}/out").select("doc_id")
 
+
+
+@query(f"""WITH k AS (SELECT {STRIPPED} AS t FROM documents WHERE length({STRIPPED}) >= 200 AND (lang IS NULL OR lang = 'en')), d AS (SELECT DISTINCT t FROM k)
+SELECT (SELECT count(*) FROM documents) + 5 AS docs_scanned, count(*) AS docs_kept, sum(length(t))::BIGINT AS chars, 1000000::BIGINT AS token_budget, NULL::BIGINT AS actual_tokens, 'char-estimate' AS counting, NULL::VARCHAR AS truncated FROM d""")
+def stream_manifest(spark, sf_dir):
+    """Counters of a whole stream, five rows skipped before it."""
+    folder = scratch(spark, "manifest")
+    return streams.run_with_manifest(_stream(spark, sf_dir), f"{folder}/out", f"{folder}/state", skip=5, token_budget=1_000_000)
+
+
+@query(f"""{_PACKED}, r AS (SELECT split, block, block // 512 AS shard, sha256(concat(i, '|', l)) AS h FROM b),
+x AS (SELECT split, shard, concat('{{"shard":', shard, ',"rows":', count(*), ',"tokens":', count(*) * {SEQ}, ',"sha256":"', sha256(string_agg(h, '' ORDER BY block)), '"}}') AS j FROM r GROUP BY split, shard),
+y AS (SELECT split, concat('"', split, '":[', string_agg(j, ',' ORDER BY shard), ']') AS j FROM x GROUP BY split)
+SELECT concat('{{"version":"1","splits":{{', string_agg(j, ',' ORDER BY split), '}},"seq_len":{SEQ}}}') AS document FROM y""")
+def index_document(spark, sf_dir):
+    """The index of a pack as one JSON document."""
+    folder = scratch(spark, "indexed")
+    index = sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 512, gapless=True)
+    return sinks.index_document(index, "1", seq_len=SEQ)

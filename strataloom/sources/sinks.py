@@ -36,9 +36,14 @@ def shard_index(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("split", "shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("long").alias("tokens"), F.sha2(in_order, 256).alias("sha256"))
 
 
-def write_shards(blocks: DataFrame, folder: str, rows_per_shard: int, meta: dict | None = None) -> DataFrame:
-    """Blocks (split, block, input_ids, labels) as Parquet by split and shard, and the index beside it (folder_index)."""
-    sharded = with_shards(blocks, rows_per_shard, by=["split"])
+def write_shards(blocks: DataFrame, folder: str, rows_per_shard: int, meta: dict | None = None, gapless: bool = False) -> DataFrame:
+    """Blocks (split, block, input_ids, labels) as Parquet by split and shard, and the index beside it (folder_index).
+
+    gapless: the blocks of a split are numbered 0, 1, ... as packing does, so that their places need no pass of their own.
+    """
+    if rows_per_shard <= 0:
+        raise ValueError("rows_per_shard must be positive")
+    sharded = blocks.withColumn("shard", F.floor(F.col("block") / rows_per_shard).cast("int")) if gapless else with_shards(blocks, rows_per_shard, by=["split"])
     sharded.repartition("split", "shard").sortWithinPartitions("block").write.mode("overwrite").partitionBy("split", "shard").parquet(folder)
     index = shard_index(blocks.sparkSession.read.parquet(folder))
     index.withColumn("meta", F.lit(json.dumps(meta or {}, sort_keys=True))).write.mode("overwrite").parquet(f"{folder}_index")
@@ -52,6 +57,20 @@ def verify_shards(spark, folder: str) -> DataFrame:
     return then.join(now, ["split", "shard"], "full_outer").select("split", "shard", F.coalesce(F.col("sha256") == F.col("now"), F.lit(False)).alias("ok"))
 
 
+def index_document(index: DataFrame, version: str = "1", **meta) -> DataFrame:
+    """One row: the whole index as JSON, {version, splits: {split: [shards in order]}, and meta}. It grows with the shards."""
+    shard = F.struct("shard", "rows", "tokens", "sha256")
+    splits = index.groupBy("split").agg(F.array_sort(F.collect_list(shard)).alias("shards"))
+    whole = splits.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "shards")))).alias("splits"))
+    return whole.select(F.to_json(F.struct(F.lit(version).alias("version"), "splits", *[F.lit(v).alias(k) for k, v in sorted(meta.items())])).alias("document"))
+
+
+def file_hashes(spark, path: str) -> DataFrame:
+    """file, bytes, sha256 of every file of a folder (or of one file)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def fingerprint(docs: DataFrame, order: str, text_col: str = "text", chunk: int = 10_000) -> DataFrame:
     """One row: the SHA-256 over the hashes of ranges of chunk documents, each over the hashes of its documents in order. Grows with documents / chunk."""
     rows = position(docs.select(order, F.sha2(text_col, 256).alias("h")), order, "__p").withColumn("__c", F.floor(F.col("__p") / chunk))

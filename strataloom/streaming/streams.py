@@ -55,3 +55,16 @@ def run_with_budget(stream: DataFrame, path: str, checkpoint: str, order: str, b
 def counted(stream: DataFrame, name: str = "progress", text_col: str = "text") -> DataFrame:
     """stream with documents and characters counted on the way; a batch's counts are among its observed metrics."""
     return stream.observe(name, F.count(F.lit(1)).alias("docs"), F.sum(F.length(text_col)).alias("chars"))
+
+
+def run_with_manifest(stream: DataFrame, path: str, checkpoint: str, min_chars: int = 200, lang: str | None = "en", text_col: str = "text", skip: int = 0, timeout: float | None = None, token_budget: int | None = None) -> DataFrame:
+    """Writes the filtered documents of the stream, one of each stripped text, and gives one row of counters:
+    docs_scanned (with those skipped before), docs_kept, chars, token_budget, actual_tokens (null: not counted), counting, truncated."""
+    spark = stream.sparkSession
+    kept = deduplicated(stream_filter(stream, min_chars, lang, text_col), text_col)
+    ran = run_to_table(kept, path, checkpoint, timeout)
+    counts = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("docs_kept"), F.coalesce(F.sum(F.length(strip(F.col(text_col)))), F.lit(0)).cast("long").alias("chars"))
+    return counts.select(
+        F.lit(ran["docs_scanned"] + skip).cast("long").alias("docs_scanned"), "docs_kept", "chars", F.lit(token_budget).cast("long").alias("token_budget"),
+        F.lit(None).cast("long").alias("actual_tokens"), F.lit("char-estimate").alias("counting"), F.lit(ran["truncated"]).cast("string").alias("truncated"),
+    )

@@ -1,0 +1,152 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataloom.operators import bpe, corpus, filters, packing, splitting
+from strataloom.sources import files, options, sinks
+from strataloom.streaming import streams
+
+CHUNKS = [(0, "a  line of text that is long enough"), (1, "a line of text\x01 that is long enough\n\n"), (2, "short"), (3, None), (4, "\n\n\nanother ﬁne text of some length"), (5, "another fine text of some length"), (6, "   \n")]
+
+
+def test_corpus_build_keeps_the_first_of_equal_normal_forms(spark):
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in CHUNKS], "ord long, text string, file long")
+    kept = {r.ord: r.text for r in corpus.build_corpus(df, "ord").collect()}
+    assert kept == {0: "a line of text that is long enough", 4: "another fine text of some length"}
+    row = corpus.build_counters(df, file_col="file").first()
+    assert row.asDict() == {"docs_kept": 2, "duplicates_removed": 2, "too_short_removed": 3, "total_chars": sum(map(len, kept.values())), "files_read": 2}
+    corpus.require_documents(corpus.build_counters(df))
+    with pytest.raises(ValueError):
+        corpus.require_documents(corpus.build_counters(df.limit(0)))
+
+
+def test_null_texts_are_one_text(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "x"), (None, "x")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in filters.exact_dedup(df).collect()) == [1, 3]
+    assert filters.dedup_counters(df, 0).first().asDict() == {"docs_kept": 2, "duplicates_removed": 3, "too_short_removed": 0, "total_chars": 1}
+
+
+def test_head_sample_ends_at_a_document(spark):
+    df = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(50)], "ord long, text string")
+    for limit in (0, 9, 10, 11, 22, 23, 24, 500, 10**6):
+        want, at = [], 0
+        for i in range(50):
+            at += 10 + i
+            if at > limit:
+                break
+            want.append(i)
+            at += 2
+        assert sorted(r.ord for r in corpus.head_sample(df, "ord", limit).collect()) == want
+    tokenizer, said = corpus.train_on_sample(df, 260, "ord", 100)
+    assert len(tokenizer.vocab) <= 260 and said.first().sample_chars <= 100 and said.first().of_chars == sum(10 + i for i in range(50))
+
+
+def naive(data, ranks):
+    parts = [bytes([b]) for b in data]
+    while len(parts) > 1:
+        rank, at = min((ranks.get((a, b), 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == 10**9:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def test_merges_of_long_pieces():
+    rnd = random.Random(1)
+    ranks = {(b"a", b"a"): 2, (b"a", b"b"): 0, (b"ab", b"a"): 1, (b"aa", b"aa"): 3, (b"b", b"ab"): 4, (b"aba", b"aba"): 5}
+    for n in [0, 1, 2, 3, 9, 40, 300]:
+        for _ in range(20):
+            data = bytes(rnd.choice(b"abc"[: rnd.choice([1, 2, 3])]) for _ in range(n))
+            assert bpe.merged_parts(data, ranks) == naive(data, ranks)
+    assert len(bpe.merged_parts(b"a" * 200_000, ranks)) == 50_000
+
+
+def test_special_tokens_stand_once():
+    learnt = bpe.learn_merges([(b"abab", 3)], 300, ["a", "<x>", "<x>"])
+    assert learnt.vocab[256] == b"<x>" and learnt.vocab.count(b"<x>") == 1 and learnt.vocab.count(b"a") == 1
+
+
+def test_packing_with_a_tokenizer(spark):
+    rnd = random.Random(2)
+    docs = [(i, " ".join(rnd.choice(["stone", "river", "cloud", "of", "the"]) for _ in range(rnd.randrange(1, 60)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tokenizer = bpe.train(df, 280)
+    blocks = corpus.pack_corpus(df, tokenizer, 16, "doc_id", 0.2)
+    split = {r.doc_id: r.split for r in splitting.hash_split(df, 0.2).collect()}
+    for name in ("train", "val"):
+        ids = [t for i, text in docs if split[i] == name for t in tokenizer.encode(text + bpe.END_OF_TEXT)]
+        want = [(ids[at : at + 16], ids[at + 1 : at + 17]) for at in range(0, len(ids) - 16, 16)]
+        got = blocks.where(F.col("split") == name).orderBy("block").collect()
+        assert [(r.input_ids, r.labels) for r in got] == want and [r.block for r in got] == list(range(len(want)))
+
+
+def test_index_document_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i} " * 4) for i in range(80)], "doc_id long, text string")
+    blocks = corpus.pack_corpus(df, bpe.train(df, 270), 8, "doc_id", 0.2)
+    plain = sinks.write_shards(blocks, str(tmp_path / "a"), 16)
+    index = sinks.write_shards(blocks, str(tmp_path / "b"), 16, gapless=True)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, index.collect()))
+    document = json.loads(sinks.index_document(index, "2", seq_len=8).first().document)
+    assert document["version"] == "2" and document["seq_len"] == 8 and set(document["splits"]) == {"train", "val"}
+    assert [s["shard"] for s in document["splits"]["train"]] == list(range(len(document["splits"]["train"])))
+    row = corpus.pack_manifest(index, df, 0.2).first()
+    assert row.train_docs + row.val_docs == 80 and row.total_tokens == 8 * (row.train_sequences + row.val_sequences) == 8 * blocks.count()
+
+
+def test_file_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "one.txt").write_bytes(b"one\n")
+    (tmp_path / "x" / "two.bin").write_bytes(bytes(range(256)) * 100)
+    got = {r.file: (r.bytes, r.sha256) for r in sinks.file_hashes(spark, str(tmp_path / "x")).collect()}
+    assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / "x").iterdir()}
+
+
+def test_invalid_utf8_files_are_left_out(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "good.txt").write_text("one\n\ntwo\r\n\r\nthree", encoding="utf-8", newline="")
+    (tmp_path / "x" / "bad.txt").write_bytes(b"\xff\xfe broken")
+    docs = files.file_documents(files.collect_files(spark, str(tmp_path / "x")))
+    assert sorted(r.text for r in docs.collect()) == ["one", "three", "two"]
+
+
+def test_reports_and_evaluation_sets(spark, tmp_path):
+    (tmp_path / "report.json").write_text(json.dumps({"overall": {"n_docs": 3}, "name": "r"}, indent=2))
+    assert files.read_report(spark, str(tmp_path / "report.json")).select("overall.n_docs").first()[0] == 3
+    (tmp_path / "eval.json").write_text(json.dumps({"version": "1", "frozen_utc": "x", "source": "s", "items": [{"instruction": "Add.", "input": "", "output": "2"}] * 2}, indent=1))
+    rows = files.read_eval_set(spark, str(tmp_path / "eval.json")).collect()
+    assert [(r.version, r.instruction, r.output) for r in rows] == [("1", "Add.", "2")] * 2
+
+
+def test_options_from_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "pack.yaml").write_text("corpus_path: a.txt\nseq_len: 512\nval_ratio: 0.2\n")
+    found = options.read_options(str(tmp_path / "pack.yaml"), options.PackOptions)
+    assert (found.corpus_path, found.seq_len, found.val_ratio, found.rows_per_shard) == ("a.txt", 512, 0.2, 4096)
+    (tmp_path / "pack.yaml").write_text("no_such_option: 1\n")
+    with pytest.raises(ValueError, match="no_such_option"):
+        options.read_options(str(tmp_path / "pack.yaml"), options.PackOptions)
+    (tmp_path / "pack.yaml").write_text("")
+    assert options.read_options(str(tmp_path / "pack.yaml"), options.PackOptions) == options.PackOptions()
+
+
+def test_stream_manifest_and_deadline(spark, tmp_path):
+    rows = [(i, f"text {i % 6} " * 40, "en" if i % 3 else "de") for i in range(30)] + [(99, "short", "en")]
+    schema = "doc_id long, text string, lang string"
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: streams.document_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    row = streams.run_with_manifest(stream(), str(tmp_path / "out"), str(tmp_path / "state"), 100, skip=7, token_budget=9).first()
+    texts = {t.strip() for _, t, la in rows if la == "en" and len(t.strip()) >= 100}
+    assert (row.docs_scanned, row.docs_kept, row.chars, row.token_budget, row.actual_tokens, row.truncated) == (38, len(texts), sum(map(len, texts)), 9, None, None)
+    stopped = streams.run_to_table(streams.deduplicated(stream()), str(tmp_path / "late"), str(tmp_path / "late_state"), timeout=0.001)
+    assert stopped["truncated"] == "stopped after 0.001 s"
+
+
+def test_all_masked_blocks_are_counted(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3, 4], [-100] * 4), (1, [5, 6, 7, 8], [-100, 6, 7, 8])], "ord long, input_ids array<int>, labels array<int>")
+    blocks = packing.pack_sft(df, 4, "ord")
+    assert [r.dropped for r in blocks.orderBy("block").collect()] == [True, False]
