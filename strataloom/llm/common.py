@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only up to this many rows; beyond it the join is salted.
-BROADCAST_ROWS = 20_000
+#: A side of a join is broadcast only up to this many rows and bytes; beyond either the join is salted.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 #: Salts that a key of unknown weight is dealt over when the small side isn't broadcast.
 SALTS = 32
 
@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only an unset one is set, to a temporary folder for tests."""
+    """The folder that driver and executors share. Only an unset one is set, to a temporary folder, and only where everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -54,15 +56,20 @@ def keyed(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), col.cast("string")))
 
 
+def fits_broadcast(small: DataFrame) -> bool:
+    """Whether small is within BROADCAST_ROWS and BROADCAST_BYTES. No more than the former and one row are read."""
+    rows, size = small.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
     """big joined with small on key (unique in small), safe for a key that holds most rows of big.
 
-    small is counted first: up to BROADCAST_ROWS it is broadcast; beyond, every row of small is repeated for
+    small is measured first: up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast; beyond, every row of small is repeated for
     each of SALTS salts, and big's rows of a key are dealt over them by the hash of spread.
     """
-    spark = big.sparkSession
     small = checkpointed(small)
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(small):
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
