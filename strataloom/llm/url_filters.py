@@ -6,12 +6,14 @@ fetch day with the intervals of its host and of the domains above it.
 
 The log is first brought down to one state for each (domain, category, day) - the last action of a day wins, an
 addition before a removal - so the window that finds the next entry holds one domain's distinct days at most.
-Captures are matched through distinct hosts: the suffixes of a host are looked up once for each host, not for
-each capture. Both joins deal a heavy key over salts.
+What is judged is the distinct (host, day): the suffixes of a host are looked up once for each host, its intervals compared once for each
+day, and the verdict is joined back to every capture. All joins are on equal keys with the heavy side on the left, which Spark splits where a key is hot.
 
-Defined cases: a null or unparsable URL has no host and is allowed; a null fetch day matches no interval; entries with
-a null domain, day or action are ignored; equal entries count once; an empty list allows everything. Repeated
-captures (equal ids) are each judged by all captures of that id, and come out once.
+A host longer than every listed domain is looked up by suffixes of their length at most, so a host of any length gives no more than the list
+can match.
+
+Defined cases: every capture has its row, equal ones and those without an id too; a null or unparsable URL has no host and is allowed; a null fetch day matches no interval; entries with
+a null domain, day or action are ignored; equal entries count once; an empty list allows everything; very long URLs are parsed whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import SALTS, table
+from strataloom.llm.common import checkpointed, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -28,9 +30,11 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def suffixes(host):
-    """The host and every domain above it."""
-    parts = F.split(host, r"\.")
+def suffixes(host, longest: int):
+    """The host and every domain above it, as far as they have longest characters or fewer."""
+    tail = F.right(host, F.lit(longest + 1))  # what is left of its first dot is the end of a longer suffix
+    short = F.when(F.length(host) <= longest, host).when(F.instr(tail, ".") > 0, F.substring(tail, F.instr(tail, ".") + 1, F.lit(longest + 1)))
+    parts = F.split(short, r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
@@ -45,20 +49,22 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 
 def temporal_list_join(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
-    """id, host, fetch day, n_active (entries active at the fetch), categories, matched (longest domain), verdict."""
-    valid = validity_intervals(entries)
+    """A row for each capture: id, host, fetch day, n_active (entries active at the fetch), categories, matched (longest domain), verdict."""
+    valid = checkpointed(validity_intervals(entries))
+    longest = valid.agg(F.max(F.length("domain"))).first()[0] or 0
     rows = captures.select(F.col(id_col).alias("__id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).cast("date").alias("day"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    looked_up = rows.where("host <> ''").select("host").distinct().withColumn("domain", F.explode(suffixes(F.col("host"))))
-    listed = looked_up.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int")).join(valid.withColumn("salt", salts), ["domain", "salt"]).drop("salt")
-    left, right = rows.withColumn("salt", F.pmod(F.xxhash64("__id", "day"), F.lit(SALTS)).cast("int")).alias("l"), listed.withColumn("salt", salts).alias("r")
-    active = (F.col("l.host") == F.col("r.host")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.day") >= F.col("r.valid_from")) & (F.col("r.valid_to").isNull() | (F.col("l.day") < F.col("r.valid_to")))
-    judged = left.join(right, active, "left").select("l.__id", "l.host", "l.day", "r.domain", "r.category")
-    longest = F.max(F.struct(F.length("domain"), "domain"))["domain"]
-    return (
-        judged.groupBy("__id", "host", "day")
-        .agg(F.count_distinct("domain", "category").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), longest.alias("matched"))
-        .select(F.col("__id").alias(id_col), "host", F.date_format("day", "yyyy-MM-dd").alias("fetch_day"), "n_active", "categories", "matched", F.when(F.col("n_active") > 0, "block").otherwise("allow").alias("verdict"))
+    asked = rows.where("host <> '' AND day IS NOT NULL").select("host", "day").distinct()
+    looked_up = asked.select("host").distinct().withColumn("domain", F.explode(suffixes(F.col("host"), longest)))
+    listed = looked_up.join(valid, "domain").select("host", F.col("domain"), "category", "valid_from", "valid_to")
+    active = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
+    longest_domain = F.max(F.struct(F.length("domain"), "domain"))["domain"]
+    judged = (
+        asked.join(listed, "host").where(active).groupBy("host", "day")
+        .agg(F.count_distinct("domain", "category").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), longest_domain.alias("matched"))
+    )
+    return rows.join(judged, ["host", "day"], "left").select(
+        F.col("__id").alias(id_col), "host", F.date_format("day", "yyyy-MM-dd").alias("fetch_day"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("categories", F.lit("")).alias("categories"), "matched", F.when(F.col("n_active") > 0, "block").otherwise("allow").alias("verdict"),
     )
 
 
@@ -86,7 +92,7 @@ def op5_url_filters(spark, sf_dir):
 
 SQL = r"""
 WITH captures AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+  SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
          DATE '2020-01-01' + CAST(page_id * 37 % 1000 AS INTEGER) AS fetch_day
   FROM pages),
 hosts AS (SELECT DISTINCT host AS domain FROM captures WHERE host <> ''),
@@ -101,11 +107,11 @@ entries AS (
 valid AS (
   SELECT domain, ['adult', 'malware', 'spam'][CAST(h % 7 % 3 + 1 AS INTEGER)] AS category, action, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day) AS valid_to
   FROM entries)
-SELECT c.page_id, c.host, strftime(c.fetch_day, '%Y-%m-%d') AS fetch_day, count(DISTINCT v.domain) AS n_active,
+SELECT any_value(c.page_id) AS page_id, any_value(c.host) AS host, strftime(any_value(c.fetch_day), '%Y-%m-%d') AS fetch_day, count(DISTINCT v.domain) AS n_active,
        coalesce(array_to_string(list_sort(list_distinct(list(v.category) FILTER (v.category IS NOT NULL))), ','), '') AS categories,
        arg_max(v.domain, (length(v.domain), v.domain)) AS matched,
        CASE WHEN count(v.domain) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM captures c LEFT JOIN valid v
   ON v.action = 'add' AND (c.host = v.domain OR ends_with(c.host, '.' || v.domain)) AND c.fetch_day >= v.valid_from AND (v.valid_to IS NULL OR c.fetch_day < v.valid_to)
-GROUP BY ALL
+GROUP BY c.rid
 """
