@@ -72,3 +72,59 @@ def test_small_leaves_are_widened_until_they_hold_enough(spark):
     for r in got:
         ranks.setdefault(r.query_id, set()).add(r["rank"])
     assert ranks == {q: set(range(1, 11)) for q in range(0, 600, 100)}
+
+
+def neighbours(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in out.items()}
+
+
+def test_repeated_query_rows_are_asked_once(spark):
+    rng = np.random.default_rng(12)
+    vectors = {i: np.float32(rng.normal(size=6)) for i in range(400)}
+    row = lambda i, x: (i, [float(v) for v in x], 0, "l", "s")
+    again = [row(100, vectors[100])] * 7 + [row(200, vectors[5])] * 2 + [row(5, vectors[5])] * 3  # id 200 has two vectors, and row 5 stands four times
+    got = neighbours(ann.k_nearest_neighbours(frame(spark, vectors, again), lambda c: c % 100 == 0, leaf_rows=32, target=1.0, min_visits=99).collect())
+    x = [(i, np.float64(v)) for i, v in vectors.items()] + [(i, np.float64(v)) for i, v, *_ in again]
+    for q in (0, 100, 200, 300):
+        own = min(tuple(v) for i, v in x if i == q)
+        d = sorted((float(np.sqrt(((v - np.array(own)) ** 2).sum())), i) for i, v in x if i != q)[:10]
+        assert [(i, r) for r, i, _ in got[q]] == [(i, r) for r, (_, i) in enumerate(d, 1)]
+        assert np.allclose([s for *_, s in got[q]], [s for s, _ in d], atol=1e-12)
+
+
+def test_every_length_has_its_own_index(spark):
+    rng = np.random.default_rng(13)
+    vectors = {i: np.float32(rng.normal(size=4 if i % 3 else 9)) for i in range(900)}
+    got = neighbours(ann.k_nearest_neighbours(frame(spark, vectors), lambda c: c % 100 == 0, leaf_rows=32).collect())
+    assert set(got) == set(range(0, 900, 100)) and all([r for r, *_ in x] == list(range(1, 11)) for x in got.values())
+    assert all(len(vectors[v]) == len(vectors[q]) for q, x in got.items() for _, v, _ in x)
+
+
+def test_many_leaves_reach_the_recall(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(60, 24))
+    vectors = {i: np.float32(centres[i % 60] + 0.6 * rng.normal(size=24)) for i in range(6000)}
+    want = brute(vectors)
+    got = neighbours(ann.k_nearest_neighbours(frame(spark, vectors), lambda c: c % 100 == 0, leaf_rows=24).collect())
+    hit = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * 10 * len(want)
+
+
+def test_crowded_cells_have_trees_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 200)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(15)
+    vectors = {i: np.float32(rng.normal(size=10)) for i in range(4000)}
+    vectors |= {i: vectors[7] for i in range(4000, 4700)}
+    want = brute(vectors)
+    again = [(300, [float(v) for v in vectors[300]], 0, "l", "s")] * 500  # rows of one id fill leaves and blocks
+    got = neighbours(ann.k_nearest_neighbours(frame(spark, vectors, again), lambda c: c % 100 == 0, leaf_rows=24, cells=6, sub_sample=300).collect())
+    assert set(got) == set(want) and all([r for r, *_ in x] == list(range(1, 11)) for x in got.values())
+    others = [q for q in want if not any(v == 300 for v, _ in want[q])]
+    hit = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in others)
+    assert len(others) > 30 and hit >= 0.9 * 10 * len(others)
+    everything = neighbours(ann.k_nearest_neighbours(frame(spark, vectors), lambda c: c % 100 == 0, leaf_rows=24, cells=6, sub_sample=300, min_visits=10**6).collect())
+    assert {q: [v for _, v, _ in x] for q, x in everything.items()} == {q: [v for v, _ in x] for q, x in want.items()}
