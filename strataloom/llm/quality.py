@@ -2,17 +2,18 @@
 
 Pass 1 hashes every normalised line (A-Z lower-cased, digit runs as 0, white space runs as one space) and counts, for each host,
 the distinct documents that hold it; documents of equal text count as one. A line is above its limits if more than
-max_docs documents of the host and more than max_share of the host's distinct documents hold it. At most
-(lines a document) / max_share lines of a host can be above, so they fit one array for each host.
+max_docs documents of the host and more than max_share of the host's distinct documents hold it. Both limits are applied to rows of (host, line), before anything is
+put together for a host; then at most (lines a document) / max_share lines of a host are left.
 
-Pass 2 reads the table again beside its host's array, removes the lines above limits, and judges: the base rules on
+Pass 2 reads the table again, with the lines above limits beside: up to BROADCAST_LINES of all hosts go to every task once, beyond that each host's are joined to its rows.
+It removes these lines, and judges: the base rules on
 the whole text, then depletion - a document is rejected if its other lines hold fewer than min_words words, or
 less than min_left of its words.
 
 Base rules: fewer than 10 words, or over 20 % of words in 5-word windows that the text repeats.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated rows
-are judged alike; lines without a word are never counted and stay in cleaned texts; an empty table gives no rows;
+are judged alike; lines without a word are never counted and stay in cleaned texts; very long texts and lines are hashed and counted whole, one text at a time; an empty table gives no rows;
 other columns are ignored (rules) or stay (cleaned documents).
 """
 
@@ -26,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import join_small, keyed, table
+from strataloom.llm.common import checkpointed, join_small, keyed, table
 
 MAX_DOCS, MAX_SHARE, MIN_WORDS, MIN_LEFT = 10, 0.05, 10, 0.3
+#: Lines above limits (a host and a long each) that are broadcast, of all hosts together.
+BROADCAST_LINES = 100_000
 WINDOW = 5
 
 _digits = re.compile(rb"[0-9]+")
@@ -76,7 +79,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def lines_above_limits(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """__host, __hot: the hashes of a host's lines that are above limits."""
+    """__host, __line: the hash of each line that is above its host's limits."""
 
     def run(batches):
         for batch in batches:
@@ -90,15 +93,15 @@ def lines_above_limits(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: flo
     found = docs.select(keyed(F.col(host_col)).alias("__host"), F.col(text_col).alias("__text")).mapInArrow(run, "__host string, __doc long, __lines array<long>")
     # null stands for the document itself, so that the same pass counts a host's documents
     lines = found.select("__host", "__doc", F.explode(F.concat(F.array(F.lit(None).cast("long")), "__lines")).alias("__line")).distinct()
-    counts = lines.groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("n")).where(F.col("__line").isNull() | (F.col("n") > max_docs))
-    per_host = counts.groupBy("__host").agg(F.max(F.when(F.col("__line").isNull(), F.col("n"))).alias("docs"), F.collect_list(F.when(F.col("__line").isNotNull(), F.struct("__line", "n"))).alias("all"))
-    return per_host.select("__host", F.array_sort(F.transform(F.filter("all", lambda x: x["n"] > F.col("docs") * max_share), lambda x: x["__line"])).alias("__hot"))
+    counts = checkpointed(lines.groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("n")).where(F.col("__line").isNull() | (F.col("n") > max_docs)))
+    hosts = counts.where("__line IS NULL").select("__host", F.col("n").alias("docs"))
+    return counts.where("__line IS NOT NULL").join(hosts, "__host").where(F.col("n") > F.col("docs") * max_share).select("__host", "__line")
 
 
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_lines long, n_words_left long, base_failed boolean, kept boolean, __clean string"
 
 
-def judge(text: str | None, hot: frozenset, min_words: int, min_left: float) -> tuple:
+def judge(text: str | None, hot, min_words: int, min_left: float) -> tuple:
     text = text or ""
     counts = base_counts(text)
     base_failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
@@ -120,26 +123,38 @@ def judge(text: str | None, hot: frozenset, min_words: int, min_left: float) ->
 
 def _judged(docs: DataFrame, carry: list[str], with_text: bool, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The carried columns as __c0, __c1, ...; the counts and verdict of every row; the text without the lines above limits (if with_text)."""
-    hot = lines_above_limits(docs, max_docs, max_share, text_col, host_col)
+    lines = checkpointed(lines_above_limits(docs, max_docs, max_share, text_col, host_col))
     kinds = dict(docs.dtypes)
     names = [f"__c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], F.col(text_col).alias("__text"), keyed(F.col(host_col)).alias("__host"))
-    rows = join_small(rows, hot, "__host", F.col("__text")).select(*names, "__text", "__hot")
+    everywhere: dict[str, set] | None = None
+    if lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        everywhere = {}
+        for r in lines.collect():  # BROADCAST_LINES at most
+            everywhere.setdefault(r["__host"], set()).add(r["__line"])
+        rows = rows.select(*names, "__text", "__host")
+    else:
+        hot = lines.groupBy("__host").agg(F.array_sort(F.collect_list("__line")).alias("__hot"))
+        rows = join_small(rows, hot, "__host", F.col("__text")).select(*names, "__text", "__hot")
     fields = [f.split() for f in VERDICT.split(", ")][: None if with_text else -1]
 
     def run(batches):
         sets: dict = {}
+
+        def of_row(h):
+            if everywhere is not None:
+                return everywhere.get(h.as_py(), ())
+            values = h.values
+            key = values.to_numpy(zero_copy_only=False).tobytes() if values is not None else b""
+            if key not in sets:
+                if len(sets) > 1000:
+                    sets.clear()
+                sets[key] = frozenset(values.to_pylist() if values is not None else ())
+            return sets[key]
+
         for batch in batches:
             n = len(batch.schema.names)
-            out = []
-            for t, h in zip(batch.column(n - 2), batch.column(n - 1)):
-                values = h.values
-                key = values.to_numpy(zero_copy_only=False).tobytes() if values is not None else b""
-                if key not in sets:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    sets[key] = frozenset(values.to_pylist() if values is not None else ())
-                out.append(judge(t.as_py(), sets[key], min_words, min_left))
+            out = [judge(t.as_py(), of_row(h), min_words, min_left) for t, h in zip(batch.column(n - 2), batch.column(n - 1))]
             kind = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
             made = [pa.array([r[i] for r in out], kind[f[1]]) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], *made], names=[*batch.schema.names[: n - 2], *(f[0] for f in fields)])

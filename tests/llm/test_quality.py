@@ -77,3 +77,14 @@ def test_no_rows(spark):
 def test_long_repetitive_text_is_covered_whole():
     assert quality.words_in_repeats(["a"] * 50_000) == 50_000
     assert quality.words_in_repeats(list("abcdefgabcdexyz")) == brute_repeats(list("abcdefgabcdexyz")) == 10
+
+
+def test_lines_are_joined_by_host_where_there_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    rows = [(i, t, la, "one host", *rest) for i, t, la, _, *rest in boilerplate(helpers.rows())]  # which holds every row
+    docs = spark.createDataFrame(rows, helpers.SCHEMA)
+    got = quality.judged_documents(docs, max_docs=3, max_share=0.1, min_words=5, min_left=0.5)
+    want = brute(rows, 3, 0.1, 5, 0.5)
+    assert Counter(tuple(r) for r in got.collect()) == want and any(x[6] for x in want)
+    kept = quality.kept_documents(docs, max_docs=3, max_share=0.1)
+    assert not any(line.startswith("Sign in") for r in kept.collect() for line in r.text.split("\n"))
