@@ -5,7 +5,7 @@ public seekable format: sizes of every frame, then their number, a descriptor an
 the footer, decompress that frame alone, and take the record at its offset there.
 
 Of pages with equal payloads the one with the smallest id is written as a response; others become revisits that refer to it, without
-payload. Only ids and digests are grouped to find that out: a page's html is shuffled once, to where its bundle is written.
+payload. Only ids and digests are grouped to find that out, and a payload that most pages share is broadcast or dealt over salts; a page's html is shuffled once, to where its bundle is written.
 
 Bundles are written straight to the shared folder through its file system, one record at a time, under a name of their own
 for every attempt of a task, then renamed; the index names the file that the surviving attempt wrote, and is itself
@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import checkpointed, shared_dir, table
+from strataloom.llm.common import checkpointed, join_small, shared_dir, table
 
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -123,7 +123,7 @@ def first_of_payload(pages: DataFrame) -> DataFrame:
     """__id, __sum, __first: for each page that isn't the smallest of its payload's, that smallest one."""
     ids = pages.select("__id", F.sha1(F.col("__html").cast("binary")).alias("__sum"))
     groups = ids.groupBy("__sum").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1 AND __first IS NOT NULL").drop("__n")
-    return ids.join(groups, "__sum").where("__id IS NULL OR __id <> __first").distinct()
+    return join_small(ids, groups, "__sum", F.col("__id"), "inner").where("__id IS NULL OR __id <> __first").distinct()
 
 
 def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,9 +3,10 @@ import hashlib
 import io
 from collections import Counter
 
+import pytest
 import zstandard
 
-from strataloom.llm import warc
+from strataloom.llm import common, warc
 from strataloom.llm.common import shared_dir
 
 SCHEMA = "page_id long, url string, html string, bundle string, frame string, __sum string"
@@ -72,3 +73,14 @@ def test_smaller_payloads_are_all_responses(spark):
 def test_no_rows(spark):
     folder = f"{shared_dir(spark)}/warc-d"
     assert warc.read_records(warc.write_bundles(spark.createDataFrame([], SCHEMA), folder), folder).count() == 0
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_one_payload_holds_most_pages(spark, monkeypatch, most):
+    """Broadcast, and dealt over salts."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    found = [(i, f"http://h/{i}", None if i % 9 == 0 else "" if i % 5 else f"<p>{i % 30}</p>", "b", "f", "s") for i in range(3000)] + [(None, "u", "", "b", "f", "s")] * 50
+    folder = f"{shared_dir(spark)}/warc-most-{most}"
+    index = warc.write_bundles(spark.createDataFrame(found, SCHEMA), folder)
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index, folder).collect())
+    assert got == expected(found)
