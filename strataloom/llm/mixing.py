@@ -7,7 +7,7 @@ get an order of their own: each is sent to a partition by its seeded key and sor
 are random subsets in random order (no sampling pass, no sort of the whole).
 
 Defined cases: a null source is a source of its own; rows that repeat (with equal ids) draw the same count; null ids
-draw as an empty id would; a source with weight 0 goes; an empty table gives no rows. Columns of the input
+draw as an empty id would; a source with weight 0 goes; a text of any length moves once; an empty table gives no rows. Columns of the input
 stay as they are, whatever their names.
 """
 
@@ -20,6 +20,8 @@ from strataloom.llm.common import hash60, join_small, keyed, table
 
 #: A Poisson variable of a larger mean is drawn as a sum of ones with at most this mean.
 PIECE = 32.0
+#: Rows of one id are dealt over so many places.
+SPREAD = 1024
 
 
 def source_rates(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, total: float | None = None, source_col: str = "source") -> DataFrame:
@@ -53,14 +55,15 @@ def poisson_mix(docs: DataFrame, weights: dict | None = None, temperature: float
     """docs with each row as often as drawn, shuffled; if numbered with copy (from 0) and shuffle_key, by which the order goes (in place of columns of these names)."""
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
     rates = source_rates(docs, weights, temperature, total, source_col).withColumn("__mix_pieces", pieces).withColumn("__mix_cdf", poisson_cdf(F.col("rate") / F.col("__mix_pieces"))).drop("rate")
-    rows = docs.select(F.struct("*").alias("__mix_row"), F.col(id_col).alias("__mix_id"), keyed(F.col(source_col)).alias("__mix_src"))
-    drawn = join_small(rows, rates, "__mix_src", F.col("__mix_id"), "inner")
+    # rows of one id (or none) draw the same keys: what they are dealt by has a row number beside
+    rows = docs.select(F.struct("*").alias("__mix_row"), F.col(id_col).alias("__mix_id"), keyed(F.col(source_col)).alias("__mix_src"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("__mix_at"))
+    drawn = join_small(rows, rates, "__mix_src", F.col("__mix_at"), "inner")
     # the hashes are a column of their own: within the count over the distribution they would be made for each of its values
     drawn = drawn.withColumn("__mix_u", F.transform(F.sequence(F.lit(1), F.col("__mix_pieces")), lambda j: hash60(seed, F.col("__mix_id"), j.cast("string")) / F.lit(float(1 << 60))))
     repeats = F.aggregate("__mix_u", F.lit(0), lambda acc, u: acc + F.size(F.filter("__mix_cdf", lambda c: c <= u)))
-    copies = drawn.withColumn("__mix_n", repeats).where("__mix_n > 0").select("__mix_row", "__mix_id", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)).alias("__mix_copy"))
+    copies = drawn.withColumn("__mix_n", repeats).where("__mix_n > 0").select("__mix_row", "__mix_id", "__mix_at", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)).alias("__mix_copy"))
     copies = copies.withColumn("__mix_key", hash60(seed, "order", F.col("__mix_id"), F.col("__mix_copy")))
-    mixed = copies.repartition("__mix_key").sortWithinPartitions("__mix_key", "__mix_id")
+    mixed = copies.repartition("__mix_key", "__mix_at").sortWithinPartitions("__mix_key", "__mix_id")
     own = [c for c in docs.columns if not (numbered and c in ("copy", "shuffle_key"))]
     return mixed.select(*[F.col(f"__mix_row.`{c}`").alias(c) for c in own], *([F.col("__mix_copy").alias("copy"), F.col("__mix_key").alias("shuffle_key")] if numbered else []))
 

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from strataloom.llm import mixing, sharding
 from tests.llm import helpers
 
@@ -67,3 +69,26 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     plain = Counter((r.doc_id, r["copy"]) for r in mixing.poisson_mix(docs).collect())
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert plain == Counter((r.doc_id, r["copy"]) for r in mixing.poisson_mix(docs).collect())
+
+
+def test_one_source_and_one_id_hold_most_rows(spark, monkeypatch):
+    """Most rows have one source and no id; many of them are equal throughout. Places follow from a plain sort."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
+    rows = [(None, f"t{i % 40}", "hot") for i in range(900)] + [(5, "same", "hot")] * 333 + [(i, "t", f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.interleaved_shards(docs, 5).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t, _ in rows)
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(r.slot for r in got if r.shard == k) == list(range(sizes[k])) for k in range(5))
+    again = sharding.interleaved_shards(docs.repartition(3), 5).collect()
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in again)
+
+
+def test_rows_without_an_id_are_mixed_over_partitions(spark):
+    docs = spark.createDataFrame([(None, f"t{i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small partitions are put together
+    try:
+        sizes = [r["count"] for r in mixing.poisson_mix(docs, weights={"s": 1.0}, total=6000).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) % 2000 == 0 and sum(sizes) and max(sizes) < 0.6 * sum(sizes)
