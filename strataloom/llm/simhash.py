@@ -4,9 +4,8 @@ A fingerprint has 8 positional bytes. Fingerprints that differ in d bits differ
 within max_bits (at most 6 of 64) shares m = 8 - max_bits positional bytes or more: the guaranteed minimum. A posting list of
 single bytes would hold 1/256 of all fingerprints, and tallying over such lists is quadratic; the index
 therefore has a posting for each combination of m positions with their bytes. Two fingerprints meet in a posting exactly if their tally of shared bytes
-reaches m: the count filter is built into the key. Where they meet, the tally is taken
-in full, which tells the first combination that they share (only there the pair is verified, so once), and the
-bits are compared.
+reaches m. Where they meet, positional bytes are tallied for each pair, pairs that reach the minimum are retained, and only these are verified by their
+bits. The tally also tells the first combination that a pair shares, where alone it is reported.
 
 Equal fingerprints are one entry of the index. A posting with few entries is compared pair by pair; in a larger one a
 search from entry to entry gives a spanning forest of its links, so what comes out grows with the entries and not
@@ -20,7 +19,7 @@ their share lies to the angle between the texts' shingles.
 Fingerprint: the text with A-Z lower-cased, words between ASCII white space, shingles of n words joined by a space
 (a shorter text is one shingle), repeats included; XXH64 with seed 42 of each; bit i is 1 if set in over half.
 
-Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; equal rows share a component; rows with a null
+Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; a text of any length is hashed whole, SHINGLES shingles at a time; equal rows share a component; rows with a null
 id get a component (null if it has no other id); an empty table gives no rows; other columns are ignored.
 """
 
@@ -93,28 +92,42 @@ def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def linked_pairs(entries: np.ndarray, combo: np.ndarray, size: int, max_bits: int, first: np.ndarray, combos: int):
+def shared_positions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair and fingerprint (last axis) the positions of equal bytes, a bit each; their number is the tally."""
+    x = np.ascontiguousarray(a ^ b)
+    return np.packbits(x.view(np.uint8).reshape(*x.shape, 8) == 0, axis=-1, bitorder="little")[..., 0]
+
+
+def retained(positions: np.ndarray, shared: int) -> np.ndarray:
+    """Whether the tally of a fingerprint reaches the minimum."""
+    return (np.bitwise_count(positions) >= shared).any(axis=-1)
+
+
+def linked_pairs(entries: np.ndarray, combo: np.ndarray, size: int, max_bits: int, shared: int, first: np.ndarray, combos: int):
     """Links between the entries of many postings of one size: entries has a row for each, combo their combination."""
     i, j = np.triu_indices(size, 1)
     n = entries.shape[2]
-    a, b = entries[:, i].reshape(-1, n), entries[:, j].reshape(-1, n)
-    ok = differing_bits(a, b) <= max_bits
-    a, b, combo = a[ok], b[ok], np.repeat(combo, len(i))[ok]
+    a, b, combo = entries[:, i].reshape(-1, n), entries[:, j].reshape(-1, n), np.repeat(combo, len(i))
+    positions = shared_positions(a, b)
+    ok = np.flatnonzero(retained(positions, shared))
+    ok = ok[differing_bits(a[ok], b[ok]) <= max_bits]
+    a, b, combo, positions = a[ok], b[ok], combo[ok], positions[ok]
     met = np.full(len(a), -1)
     for k in range(n):
-        tally = np.packbits((a[:, k] ^ b[:, k]).view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little")[:, 0]
-        met = np.where((met < 0) & (first[tally] >= 0), k * combos + first[tally], met)
+        at = first[positions[:, k]]
+        met = np.where((met < 0) & (at >= 0), k * combos + at, met)
     return a[met == combo], b[met == combo]
 
 
-def forest(entries: np.ndarray, max_bits: int):
+def forest(entries: np.ndarray, max_bits: int, shared: int):
     """A spanning forest of the links among entries: every entry is reached once, from one that is linked with it."""
     left, found, reached = entries, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = differing_bits(left, at) <= max_bits
+            near = retained(shared_positions(left, at[None, :]), shared)
+            near[near] = differing_bits(left[near], at) <= max_bits
             if near.any():
                 new = left[near]
                 left = left[~near]
@@ -150,7 +163,7 @@ def search_postings(n: int, max_bits: int, shared: int, size_limit: int | None):
             fps = np.concatenate(held) if held else np.empty((0, n), np.uint64)
             held = []
             if len(fps) > 1:
-                a, b = forest(fps, max_bits) if len(fps) > PAIRWISE else linked_pairs(fps[None, :], np.array([posting[0]]), len(fps), max_bits, first, combos)
+                a, b = forest(fps, max_bits, shared) if len(fps) > PAIRWISE else linked_pairs(fps[None, :], np.array([posting[0]]), len(fps), max_bits, shared, first, combos)
                 if len(a):
                     yield rows(a, b)
             if len(fps) and chunked and (chunk or not last):
@@ -176,7 +189,7 @@ def search_postings(n: int, max_bits: int, shared: int, size_limit: int | None):
                     of = starts[1:-1][sizes == size]
                     for at in range(0, len(of), 1 << 14):
                         part = of[at : at + (1 << 14)]
-                        a, b = linked_pairs(fps[part[:, None] + np.arange(size)], keys[0][part], size, max_bits, first, combos)
+                        a, b = linked_pairs(fps[part[:, None] + np.arange(size)], keys[0][part], size, max_bits, shared, first, combos)
                         if len(a):
                             yield rows(a, b)
                 for k in np.flatnonzero(sizes > PAIRWISE) + 1:

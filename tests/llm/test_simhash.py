@@ -89,9 +89,21 @@ def test_links_reach_all_that_brute_force_links(spark, bits, limit):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_tally_retains_and_bits_verify():
+    a = np.array([[0], [0], [0]], dtype=np.uint64)
+    b = np.array([[0x0101010100000000], [0x0F00000000000000], [0x0101010101000000]], dtype=np.uint64)
+    positions = simhash.shared_positions(a, b)
+    assert [int(p).bit_count() for p in positions[:, 0]] == [4, 7, 3]
+    assert simhash.retained(positions, 4).tolist() == [True, True, False]
+    entries = np.stack([a[:, 0], b[:, 0]], axis=1)[:, :, None]
+    first, combos = simhash.first_combinations(4), len(simhash.byte_masks(4))
+    links = [simhash.linked_pairs(entries[[r]], np.array([c]), 2, 4, 4, first, combos)[0] for r in range(3) for c in range(combos)]
+    assert sum(map(len, links)) == 2  # each link once, and none below the minimum
+
+
 def test_forest_connects_what_is_linked():
     fps = np.array([0, 1, 3, 7, 15, 3 << 40, (3 << 40) + 1], dtype=np.uint64)
-    a, b = simhash.forest(fps[:, None], 1)
+    a, b = simhash.forest(fps[:, None], 1, 7)
     assert len(a) == 5 and all((int(x) ^ int(y)).bit_count() <= 1 for x, y in zip(a[:, 0], b[:, 0]))
 
 
