@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator wrote, through whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder, so that no lost executor can take it along."""
     shared_dir(df.sparkSession)

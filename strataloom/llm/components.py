@@ -40,15 +40,20 @@ def contract(batches):
 def component_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """u, v: every linked node u that isn't the smallest of its component, with that smallest node v.
 
-    links: two long columns, in any order, repeats allowed. Partitions first contract their own links; then large-star
+    links: two long columns, in any order, repeats allowed. Partitions contract their own links to stars, again and again as long as that leaves far fewer;
+    what fits one task (TASK_LINKS) is then settled by one. If more are left, large-star
     and small-star steps (each a minimum for each node and one join) alternate until nothing changes. Every round is
     written to the shared folder.
     """
     first, second = links.columns
-    links = checkpointed(links.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u <> v"))
-    n = links.count()
-    stars = links.repartition(max(1, -(-n // TASK_LINKS)), "u", "v").mapInArrow(contract, "u long, v long")
-    edges = checkpointed(stars.distinct())
+    edges = checkpointed(links.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u <> v"))
+    n, before = edges.count(), None
+    while n > TASK_LINKS and (before is None or n < 0.7 * before):
+        # dealt by both ends, so that no large star lies in one task, and with a salt, so that other links come together each time
+        edges = checkpointed(edges.repartition(-(-n // TASK_LINKS), F.xxhash64("u", "v", F.lit(n))).mapInArrow(contract, "u long, v long").distinct())
+        n, before = edges.count(), n
+    if n <= TASK_LINKS:
+        return checkpointed(edges.coalesce(1).mapInArrow(contract, "u long, v long"))
     state = None
     for _ in range(max_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
