@@ -20,12 +20,11 @@ PATTERNS = {
 
 def scrub(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the text masked, and hits_<class>: how often each class was masked."""
-    text = F.col(text_col)
-    hits: dict[str, Column] = {}
     for name, pattern in PATTERNS.items():
-        hits[f"hits_{name}"] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, f"<|{name}|>")
-    return docs.withColumns({**hits, text_col: text})
+        text, unicode = F.col(text_col), f"(?U){pattern}"  # digits, white space and case are those of Unicode
+        # both columns read the text that the class before left, so no class is masked twice over
+        docs = docs.withColumns({f"hits_{name}": F.regexp_count(text, F.lit(unicode)), text_col: F.regexp_replace(text, unicode, f"<|{name}|>")})
+    return docs
 
 
 def hits_map() -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: contractions; letters; digits; anything but backslash, s and those. White space belongs to the last
-# class, so the usual alternatives for it would never be reached; a backslash belongs to none and is left out.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\\sA-Za-z0-9]+"
+# Fixed value: contractions; letters; digits; anything but backslash, s and those; white space. The last two are never reached, as white space belongs
+# to the class before; a backslash belongs to none and is left out.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
 
 def pretokens(text: Column) -> Column:

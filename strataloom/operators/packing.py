@@ -57,6 +57,14 @@ def pack_sft(pairs: DataFrame, seq_len: int, order: str, by: list[str] | None =
     return whole.withColumn("dropped", ~trainable(F.col("labels")))
 
 
+def trainable_batches(blocks: DataFrame, batch_rows: int, by: list[str] | None = None) -> DataFrame:
+    """by, batch, rows, skipped: batch_rows gapless blocks (block, labels) each; a batch without a trainable token is skipped in training."""
+    if batch_rows <= 0:
+        raise ValueError("batch_rows must be positive")
+    rows = blocks.select(*(by or []), F.expr(f"block div {batch_rows}").alias("batch"), trainable(F.col("labels")).alias("__ok"))
+    return rows.groupBy(*(by or []), "batch").agg(F.count(F.lit(1)).alias("rows"), (~F.bool_or("__ok")).alias("skipped"))
+
+
 def block_counts(docs: DataFrame, seq_len: int, tokens: str = "tokens") -> DataFrame:
     """n_tokens, lm_blocks, sft_blocks that packing all of docs gives."""
     _check(seq_len)

@@ -129,6 +129,14 @@ def sft_pack(spark, sf_dir):
     return blocks.select("block", digest("input_ids").alias("input_ids"), digest("labels").alias("labels"), "dropped")
 
 
+@query(f"""{_EXAMPLES}, u AS (SELECT ord, unnest(l) AS lab, generate_subscripts(i, 1) AS p FROM x),
+o AS (SELECT lab, row_number() OVER (ORDER BY ord, p) - 1 AS pos, count(*) OVER () AS n FROM u)
+SELECT pos // 64 // 2 AS batch, count(DISTINCT pos // 64) AS rows, bool_and(lab = -100) AS skipped FROM o WHERE pos // 64 < n // 64 GROUP BY 1""")
+def masked_batches(spark, sf_dir):
+    """Batches of two blocks, and whether training skips them."""
+    return packing.trainable_batches(packing.pack_sft(examples(spark, sf_dir), 64, "ord"), 2)
+
+
 @query(f"""{_EXAMPLES}, u AS (SELECT ord, unnest(l) AS lab, generate_subscripts(i, 1) AS p FROM x),
 o AS (SELECT lab, row_number() OVER (ORDER BY ord, p) - 1 AS pos, count(*) OVER () AS n FROM u),
 b AS (SELECT pos // 64 AS block, bool_and(lab = -100) AS dropped FROM o WHERE pos // 64 < n // 64 GROUP BY 1)
