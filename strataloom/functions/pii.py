@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,20 @@ PATTERNS = {
     "generic_secret": r"(?i)(token|credential)s?\s*[:=]\s*['\"]?\S{8,}['\"]?",
 }
 
+#: What a text has to contain, one of these at least, for a class to be found in it; classes that aren't here are looked for in every text.
+NEEDED = {"email": ["@"], "ipv4": ["."], "private_key": ["-----BEGIN "], "aws_key": ["AKIA"], "github_token": ["gh"], "api_assignment": [":", "="], "generic_secret": [":", "="]}
+
 
 def scrub(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the text masked, and hits_<class>: how often each class was masked."""
     for name, pattern in PATTERNS.items():
         text, unicode = F.col(text_col), f"(?U){pattern}"  # digits, white space and case are those of Unicode
         # both columns read the text that the class before left, so no class is masked twice over
-        docs = docs.withColumns({f"hits_{name}": F.regexp_count(text, F.lit(unicode)), text_col: F.regexp_replace(text, unicode, f"<|{name}|>")})
+        found, masked = F.regexp_count(text, F.lit(unicode)), F.regexp_replace(text, unicode, f"<|{name}|>")
+        if name in NEEDED:
+            without = reduce(Column.__and__, [~F.contains(text, F.lit(x)) for x in NEEDED[name]])
+            found, masked = F.when(without, F.lit(0)).otherwise(found), F.when(without, text).otherwise(masked)
+        docs = docs.withColumns({f"hits_{name}": found, text_col: masked})
     return docs
 
 
