@@ -11,7 +11,7 @@ string. No control string holds a backslash, so none is left in a text; taking a
 Rows are dealt by conversation and sorted by turn there. Both directions hold one turn at a time, so a conversation of any length
 streams through a task.
 
-Defined cases: null texts and roles are empty; turns of one number go by role, then text; repeated rows are turns of their own; null conversation ids
+Defined cases: null texts and roles are empty; a text of any length is one segment; turns of one number go by role, then text; repeated rows are turns of their own; null conversation ids
 form one conversation; roles that the template doesn't know are written with their name and read back; an empty table gives no rows; other
 columns are ignored.
 """

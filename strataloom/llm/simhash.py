@@ -25,7 +25,7 @@ id get a component (null if it has no other id); an empty table gives no rows; o
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import checkpointed, table
 from strataloom.llm.components import component_labels
-from strataloom.llm.overlap import component_minima
+from strataloom.llm.overlap import component_firsts, text_key
 
 #: Entries of a posting that are compared pair by pair, and entries that a task takes of a posting at once.
 PAIRWISE, CHUNK = 12, 4096
@@ -266,10 +266,18 @@ def op9_simhash(spark, sf_dir):
 
 
 def first_of_each_group(docs: DataFrame, overlap: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component; columns as they are. Rows of one id stay or go together.
+    """The document whose id is the smallest of its component; columns as they are.
 
     Two documents link if their sets of n-word shingles overlap by so much or more (see overlap.py): fingerprints can't tell that, as of
     64 bits nearly 10 differ at 0.8, give or take 3.
+
+    Rows that repeat an id with its text are one document and stay together; an id that stands for several texts is judged text by text. Rows without an id come after all
+    others; where a component has no other, one row of one text stays.
     """
-    first = component_minima(docs, overlap, n_words, id_col, text_col).select(F.col("component_id").alias("__first")).distinct()
-    return docs.join(first, docs[id_col].cast("long").eqNullSafe(first["__first"]), "left_semi")
+    first = component_firsts(docs, overlap, n_words, id_col, text_col)
+    key = next(name for name in (f"__key{k}" for k in count()) if name not in docs.columns)
+    rows = docs.withColumn(key, text_key(text_col))
+    same = rows[id_col].cast("long").eqNullSafe(first["first_id"]) & (rows[key] == first["first_key"])
+    named = rows.where(F.col(id_col).isNotNull()).join(first, same, "left_semi")
+    unnamed = rows.where(F.col(id_col).isNull()).join(first.where("first_id IS NULL"), rows[key] == first["first_key"], "left_semi").dropDuplicates([key])
+    return named.union(unnamed).drop(key)

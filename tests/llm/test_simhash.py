@@ -156,5 +156,12 @@ def test_first_of_each_group_keeps_columns(spark):
     assert 3 in ids and 1003 not in ids and 1004 not in ids and ids.count(3) == 3
 
 
+def test_one_row_stays_where_ids_are_null_or_stand_for_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a), (None, a), (None, a + " more"), (2, b), (5, b + " more"), (5, "something else that is long enough to be a text"), (None, b)]
+    got = simhash.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text[:9]) for r in got) == [(False, 2, "b0 b1 b2 "), (False, 5, "something"), (True, 0, "a0 a1 a2 ")]
+
+
 def test_no_rows(spark):
     assert simhash.simhash_components(helpers.empty(spark)).count() == 0
