@@ -1,6 +1,6 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-A text of at most CHUNK characters is one chunk and is encoded where it is read. A longer one is cut into chunks that
+A text of at most CHUNK characters is one chunk and is encoded where it is read: there is nothing to stitch, and the library splits it at the pattern and encodes each piece. A longer one is cut into chunks that
 overlap their successor by OVERLAP characters; chunks are dealt over the cluster, and each is pre-tokenised and its pieces encoded
 on its own, from wherever it begins. Chunks of a text are then stitched in order by a stream that holds two of them at once:
 
@@ -46,8 +46,12 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.merge, self.whole = library._core_bpe.encode_single_piece, library.encode_ordinary
+        last = max(self.ranks.values())
+        self.bytes_of, self.name_of = [b""] * (last + 1), [str(i) for i in range(last + 1)]
+        for b, i in self.ranks.items():
+            self.bytes_of[i] = b
         self.cache: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
@@ -95,7 +99,7 @@ class Digest:
 
     def feed(self, ids) -> None:
         if len(ids):
-            self.ids.update((" " * (self.n > 0) + " ".join(map(str, ids))).encode())
+            self.ids.update((" " * (self.n > 0) + " ".join(map(self.coder.name_of.__getitem__, ids))).encode())
             self.raw.update(self.coder.decode(ids))
             self.n += len(ids)
 
@@ -177,9 +181,8 @@ def encoded_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None,
         for batch in batches:
             digests = []
             for t in batch.column(n):
-                d, text = Digest(coder), t.as_py()
-                for ids in stitch([Chunk(0, text, True, *encode_chunk(coder, text))], coder):
-                    d.feed(ids)
+                d = Digest(coder)
+                d.feed(coder.whole(t.as_py()))
                 digests.append(d.row())
             yield made(batch.columns[:n], digests)
 
