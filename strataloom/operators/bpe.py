@@ -129,34 +129,39 @@ class _Words:
         for word, n in counts:
             self.symbols.append([bytes([b]) for b in word])
             self.n.append(n)
-            self._add(len(self.n) - 1, 1)
-
-    def _add(self, w: int, sign: int) -> set:
-        touched = set()
-        for pair in zip(self.symbols[w], self.symbols[w][1:]):
-            self.total[pair] += sign * self.n[w]
-            if sign > 0:
-                self.holders[pair].add(w)
-            touched.add(pair)
-        return touched
+            for pair in zip(self.symbols[-1], self.symbols[-1][1:]):
+                self.total[pair] += n
+                self.holders[pair].add(len(self.n) - 1)
 
     def merge(self, pair) -> set:
-        """Joins the pair, left to right, wherever it stands; gives the pairs whose totals may have changed."""
-        touched, joined = set(), pair[0] + pair[1]
-        for w in self.holders.pop(pair, ()):
-            old = self.symbols[w]
-            new, i = [], 0
-            while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == pair:
-                    new.append(joined)
+        """Joins the pair, left to right, wherever it stands; gives the pairs whose totals have changed. Only pairs next to a joint are counted anew."""
+        (a, b), joined, total, holders, touched = pair, pair[0] + pair[1], self.total, self.holders, set()
+        for w in holders.pop(pair, ()):
+            old, n, new, i = self.symbols[w], self.n[w], [], 0
+            last = len(old) - 1
+            while i <= last:
+                if i < last and old[i] == a and old[i + 1] == b:
                     i += 2
+                    gone, come = [], []
+                    if new:
+                        gone.append((new[-1], a))
+                        come.append((new[-1], joined))
+                    if i <= last:
+                        gone.append((b, old[i]))
+                        come.append((joined, old[i]))
+                    for p in gone:
+                        total[p] -= n
+                    for p in come:
+                        total[p] += n
+                        holders[p].add(w)
+                    touched.update(gone, come)
+                    new.append(joined)
                 else:
                     new.append(old[i])
                     i += 1
-            if len(new) < len(old):
-                touched |= self._add(w, -1)
-                self.symbols[w] = new
-                touched |= self._add(w, 1)
+            self.symbols[w] = new
+        total.pop(pair, None)  # it stands nowhere any more
+        touched.discard(pair)
         return touched
 
 
