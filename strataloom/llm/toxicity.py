@@ -29,8 +29,8 @@ from strataloom.llm.common import bounded_sample, checkpointed, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 1500, 4000, 1200
 BITS, GRAMS, THRESHOLD, PIECE = 20, (4, 9), 0.7, 1 << 19
-#: Partitions that count features; each gives two counts of every feature to the driver.
-COUNTERS = 4
+#: Partitions that count features; each gives two counts of every feature to the driver. Texts that are taken from a batch at once.
+COUNTERS, TEXTS = 4, 256
 
 _letters = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _mix = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -232,14 +232,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     if k in ("p", "u"):
                         sums["pu".index(k), f] += 1
                         n["pu".index(k)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())), pa.array([sums.tobytes()], pa.binary())], names=["n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())), pa.array([sums.astype(narrow).tobytes()], pa.binary())], names=["n", "sums"])
 
-    # COUNTERS rows of 2^BITS counts each
+    # COUNTERS rows of 2 x 2^BITS counts each
+    narrow = np.uint16 if max(max_positive, max_unlabelled) < 1 << 16 else np.int32
     texts = checkpointed(texts)
     counts = texts.coalesce(COUNTERS).mapInArrow(count, "n array<long>, sums binary").collect()
     sums = np.zeros((2, 1 << BITS), dtype=np.int64)
     for r in counts:
-        sums += np.frombuffer(r["sums"], dtype=np.int32).reshape(2, -1)
+        sums += np.frombuffer(r["sums"], dtype=narrow).reshape(2, -1)
     n_p, n_u = (sum(r["n"][k] for r in counts) for k in (0, 1))
     if not n_p or not n_u:
         return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))), 1.0, 0.0)
@@ -271,7 +272,8 @@ def scored(docs: DataFrame, model: Model, carry: list[str], text_col: str = "tex
     def run(batches):
         for batch in batches:
             n = batch.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(model.scores(batch.column(n).to_pylist()), pa.float64())], names=[*batch.schema.names[:n], "score"])
+            for part in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(model.scores(part.column(n).to_pylist()), pa.float64())], names=[*batch.schema.names[:n], "score"])
 
     return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in carry] + ["score double"]))
 
