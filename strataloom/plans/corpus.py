@@ -35,7 +35,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return files.read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
 
 
 def scratch(spark, name: str) -> str:

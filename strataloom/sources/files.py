@@ -60,6 +60,19 @@ def read_documents(spark: SparkSession, path: str, skip: int = 0, at_most: int |
     return rows if not skip and at_most is None else offset_window(rows, order, skip, at_most)
 
 
+#: A table of up to so many bytes may lie in fewer row groups than there are cores.
+SMALL_BYTES = 256 << 20
+
+
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A Parquet table. The rows of a small one, whose only row group one task would read and work on alone, are dealt over the cores by key; a large
+    one is left as its row groups part it, so nothing is shuffled. Column and filter pushdown reach the scan either way."""
+    rows, at = spark.read.parquet(path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    if key is None or at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() > SMALL_BYTES:
+        return rows
+    return rows.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def load_sharded(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """Blocks of a split with their place, in the order of shards."""
     return position(spark.read.parquet(folder).where(F.col("split") == split), "block", "place")
