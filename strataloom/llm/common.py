@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written to a new folder of the shared folder as Parquet, and that folder: smaller than a checkpoint, and removed by whoever asked for it."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -68,8 +76,8 @@ def fits_broadcast(small: DataFrame) -> bool:
     return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
-    """big joined with small on key (unique in small), safe for a key that holds most rows of big.
+def join_small(big: DataFrame, small: DataFrame, key: str | list[str], spread: Column, how: str = "left") -> DataFrame:
+    """big joined with small on key (a column or several, unique in small), safe for a key that holds most rows of big.
 
     small is measured first: up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast; beyond, every row of small is repeated for
     each of SALTS salts, and big's rows of a key are dealt over them by the hash of spread.
@@ -78,7 +86,7 @@ def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, how:
     if fits_broadcast(small):
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+    return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")
 
 
 def strings(column) -> list:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.llm import ann, bpe, chat, mixing, quality, sharding, simhash, toxicity, url_filters, warc
+from strataloom.llm import ann, bpe, chat, clustering, divergence, line_dedup, mixing, quality, sharding, simhash, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_simhash": simhash.op9_simhash,
     "op10_bpe": bpe.op10_bpe,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_centroid_clustering": clustering.op12_centroid_clustering,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
@@ -24,4 +27,7 @@ ORACLES = {
     "op5_url_filters": url_filters.SQL,
     "op6_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
+    "op11_line_dedup": line_dedup.SQL,
+    "op12_centroid_clustering": clustering.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
