@@ -75,9 +75,9 @@ def test_partial_distances_lose_no_tie():
 
 
 def test_places_of_vectors_that_take_part():
-    rows = [r[1] for r in vectors(3)]
+    rows = [r[1] for r in vectors(10)]
     at, v = clustering.integers(pa.array(rows, pa.list_(pa.float64())))
-    assert [len(rows[i]) for i in at] == [64] * len(at) and v.shape == (len(at), 64) and len(at) == 3 + 4 + 1
+    assert [len(rows[i]) for i in at] == [64] * len(at) and v.shape == (len(at), 64) and len(at) == 10 + 4 + 1
 
 
 def test_query_reads_the_whole_table(spark, tmp_path):
