@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.plans import training, web  # noqa: F401  register their queries
+from strataloom.plans import quality, training, web  # noqa: F401  register their queries
 from strataloom.plans.corpus import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

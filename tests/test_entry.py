@@ -29,7 +29,7 @@ def test_a_missing_library_is_not_taken_for_a_part_left_out():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["flagship", "exact_dedup", "pii_totals", "pack_blocks", "sft_pairs", "run_upsert", "corpus_build", "corpus_build_counters", "corpus_manifest", "normalize_nfkc", "head_sample", "sft_split", "bpe_train_small", "tokenizer_eval_small", "index_document", "stream_manifest"])
+@pytest.mark.parametrize("name", ["flagship", "exact_dedup", "pii_totals", "pack_blocks", "sft_pairs", "run_upsert", "corpus_build", "corpus_build_counters", "corpus_manifest", "normalize_nfkc", "head_sample", "sft_split", "bpe_train_small", "tokenizer_eval_small", "index_document", "stream_manifest", "html_blocks", "html_clean", "language_id", "quality_figures", "benchmark_spans", "decontaminated"])
 def test_query_gives_what_its_sql_gives(spark, name):
     con = duckdb.connect()
     for p in DATA.glob("*.parquet"):
