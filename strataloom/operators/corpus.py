@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import normalize
 from strataloom.operators import bpe, filters, ordering, packing, splitting
+from strataloom.sources import shared
 
 
 def normal_chunks(chunks: DataFrame, text_col: str = "text", **form) -> DataFrame:
@@ -15,9 +16,9 @@ def normal_chunks(chunks: DataFrame, text_col: str = "text", **form) -> DataFram
 
 
 def build_corpus(chunks: DataFrame, order: str, min_chars: int = 20, text_col: str = "text", **form) -> DataFrame:
-    """The chunks that make the corpus, in normal form: those of min_chars or more, and of equal ones the first in order."""
-    long_enough = normal_chunks(chunks, text_col, **form).where(F.length(text_col) >= min_chars)
-    return filters.exact_dedup(long_enough, order, F.col(text_col))
+    """The chunks that make the corpus, in normal form: those of min_chars or more, and of equal ones the first in order. Normal forms are made once and written to the shared folder."""
+    formed = shared.written(normal_chunks(chunks, text_col, **form), "normal-forms")  # before the filter, which would have the form made for itself
+    return filters.exact_dedup(formed.where(F.length(text_col) >= min_chars), order, F.col(text_col))
 
 
 def build_counters(chunks: DataFrame, min_chars: int = 20, text_col: str = "text", file_col: str | None = None, **form) -> DataFrame:

@@ -1,7 +1,7 @@
 """Packing of token sequences into blocks of one length.
 
-Offsets of documents in the concatenated sequence come from a running sum; each document is cut into the slices that fall into a block, and
-a block is put together from its slices. No token is shuffled by itself, and a block holds few rows.
+Sequences are made once and written to the shared folder, with a number for each row. Offsets of documents in the concatenated sequence come from a running sum over order, length and row number alone;
+each document is cut into the slices that fall into a block, and a block is put together from its slices. No token is shuffled by itself, and a block holds few rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.ordering import running_sum
+from strataloom.sources import shared
 
 IGNORE = -100
 
@@ -21,8 +22,10 @@ def _check(seq_len: int) -> None:
 
 def _blocks(docs: DataFrame, arrays: list[str], order: str, seq_len: int, width: int, by: list[str]) -> DataFrame:
     """by, block, the arrays' elements from block * seq_len on (width of them, fewer at the end)."""
-    rows = docs.withColumn("__n", F.size(arrays[0])).where("__n > 0")
-    rows = running_sum(rows, F.col("__n"), order, "__at", by=by)
+    made = docs.select(*by, order, *arrays).withColumn("__n", F.size(arrays[0]))
+    made = shared.written(made.withColumn("__row", F.monotonically_increasing_id()), "sequences").where("__n > 0")
+    at = running_sum(made.select(*by, order, "__n", "__row"), F.col("__n"), order, "__at", by=by, ties=["__row"])
+    rows = made.join(at.select("__row", "__at"), "__row")
     first = F.greatest(F.lit(0), F.floor((F.col("__at") - (width - seq_len)) / seq_len)).cast("long")
     rows = rows.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("__at") + F.col("__n") - 1) / seq_len))))
     start = F.greatest(F.col("__at"), F.col("block") * seq_len)

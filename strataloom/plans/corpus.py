@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from strataloom.functions import hashing, pii, text, tokens
 from strataloom.operators import bpe, corpus, filters, near_dup, ordering, splitting
-from strataloom.sources import files, sinks
+from strataloom.sources import files, shared, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,14 +38,7 @@ def documents(spark, sf_dir):
 
 def scratch(spark, name: str) -> str:
     """A new folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="strataloom-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.new(spark, name)
 
 
 # --- filters, windows and budgets
