@@ -84,3 +84,35 @@ def test_stage_against_brute_force_overlap(spark, monkeypatch, pairwise, block):
     want = first_ids(texts)
     assert 20 < len(want) < len(texts) - 60
     assert stay(spark, texts) == want
+
+
+def templated(n, own, seed=5, words=200, pool=None):
+    """Texts of one template: common words, then own ones (or drawn from a pool of passages)."""
+    rnd = random.Random(seed)
+    body = [f"body{i}" for i in range(words - own)]
+    passages = [[f"p{k}w{i}" for i in range(own // 2)] for k in range(pool or 0)]
+    ends = [sum(rnd.sample(passages, 2), []) if pool else [f"own{rnd.randrange(10**9)}" for _ in range(own)] for _ in range(n)]
+    return [" ".join(body + end) for end in ends]
+
+
+def test_pages_of_one_template_meet_nowhere_by_rare_shingles(spark):
+    texts = templated(150, 30)
+    assert jaccard(shingles(texts[0]), shingles(texts[1])) > 0.7
+    assert stay(spark, texts) == set(range(150))
+    sets = spark.createDataFrame([(i, overlap.np.unique(overlap.shingle_set(t).astype("<u4")).tobytes()) for i, t in enumerate(texts)], "__entry long, __set binary")
+    firsts = overlap.first_shingles(sets.selectExpr("__entry", "__entry AS label"), sets, 0.8).collect()
+    assert all(x.n == 1 for r in firsts for x in r.ws[: r.leading]) and any(x.n > 1 for r in firsts for x in r.ws)
+
+
+@pytest.mark.parametrize("pairwise,block", [(12, 2048), (2, 5)])
+def test_templates_with_passages_and_longer_copies_against_brute_force(spark, monkeypatch, pairwise, block):
+    monkeypatch.setattr(overlap, "PAIRWISE", pairwise)
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    rnd = random.Random(8)
+    texts = templated(60, 40, pool=9) + templated(40, 30, seed=6)
+    base = [f"g{rnd.randrange(10**6)}" for _ in range(250)]
+    texts += [" ".join(base + [f"tail{rnd.randrange(10**6)}" for _ in range(k)]) for k in range(0, 70, 2)]  # of other sizes, on both sides of the limit
+    texts += [" ".join(base[k : k + 210]) for k in range(0, 40, 3)]
+    rnd.shuffle(texts)
+    want = first_ids(texts)
+    assert stay(spark, texts) == want and 40 < len(want) < len(texts) - 30
