@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over the byte 4- to 9-grams of a text's words (those whose share of P and U differs by
-three standard errors or more, scaled by that distance) is trained in numpy from confirmed toxic documents (P) and documents taken without their labels (U). With class prior p and logistic loss l, the risk is
+three standard errors or more, scaled by that distance) is trained in numpy from confirmed toxic documents (P) and labelled documents taken without their labels (U). With class prior p and logistic loss l, the risk is
 p E_P[l(s)] + max(0, E_U[l(-s)] - p E_P[l(-s)]): the second part stands for the risk on clean text, and as that
 can't be negative, steps that would make it so climb instead of descending. Labels of clean rows take no part in the risk. They do in two
 numbers around it: the prior is the share of toxic rows among training labels, and a logistic curve, fitted on training labels that were kept out of P, turns scores
@@ -10,8 +10,8 @@ into probabilities.
 Words: the text in lower case, in UTF-8; ASCII letters and bytes from 128 on belong to words, and all else parts them. A gram lies within a word with a space
 at either end, and counts once for a text. Texts are hashed in numpy, many at once, in pieces of PIECE bytes: nothing is kept for each word.
 
-Labels are learnt from rows with crc32(id as text) mod 3 other than 1 only. Fitting uses bounded samples of distinct ids, drawn by hash:
-max_positive and max_calibration labelled documents and max_unlabelled others; of rows that share an id the text that sorts first counts. Scoring reads every whole text.
+Labels are learnt from rows with crc32(id as text) mod 3 other than 1 only. Fitting uses bounded samples of the labelled rows, by distinct ids, drawn by hash:
+max_positive toxic ones, max_unlabelled of all kinds whose labels aren't looked at, and max_calibration for the curve; of rows that share an id the text that sorts first counts. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the bias; ids that are null are never joined with
 labels and are not held out; a document labelled twice is toxic if either row says so; repeated rows score alike and count once in fitting; very long texts are hashed
@@ -210,7 +210,7 @@ def drawn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
         return bounded_sample(rows, total, bound, order).select("__id", F.lit(use).alias("__use"), F.col("__y").cast("int").alias("__y") if "__y" in rows.columns else F.lit(0).alias("__y"))
 
     wanted = pick(known.where((F.col("__y") == 1) & ~aside), "p", int((n or 0) * (prior or 0) * 3 // 4), max_positive)
-    wanted = wanted.union(pick(ids, "u", ids.count(), max_unlabelled)).union(pick(known.where(aside), "c", (n or 0) // 4, max_calibration))
+    wanted = wanted.union(pick(known.select("__id"), "u", n or 0, max_unlabelled)).union(pick(known.where(aside), "c", (n or 0) // 4, max_calibration))
     # at most max_positive + max_unlabelled + max_calibration rows
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted.select("__id").distinct()), "__id")
     texts = found.groupBy("__id").agg(F.min("__text").alias("__text"))
@@ -218,7 +218,7 @@ def drawn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_calibration: int = MAX_CALIBRATION) -> Model:
-    """A model from docs and labels(doc_id, toxic). It is fitted on max_positive toxic, max_unlabelled unlabelled and max_calibration labelled documents at most."""
+    """A model from docs and labels(doc_id, toxic). It is fitted on max_positive toxic documents, max_unlabelled without their labels and max_calibration for the curve at most, all of labelled rows."""
     texts, prior = drawn(docs, labels, max_positive, max_unlabelled, max_calibration, id_col, text_col)
     if not prior:
         return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0, known=False)
