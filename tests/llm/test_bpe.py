@@ -25,16 +25,14 @@ def test_stitched_chunks_are_as_one_text(coder, library, chunk, overlap):
     rnd = random.Random(chunk)
     for _ in range(600):
         text = "".join(rnd.choice(PIECES) for _ in range(rnd.randrange(90)))
-        parts = bpe.cut(text, chunk, overlap)
-        chunks = [bpe.Chunk(k * chunk, p, k + 1 == len(parts), *bpe.encode_chunk(coder, p)) for k, p in enumerate(parts)]
-        ids = [i for some in bpe.stitch(chunks, coder) for i in some]
+        ids = [i for some in bpe.stitch(bpe.chunks_of(coder, text, chunk, overlap), coder) for i in some]
         assert ids == library.encode_ordinary(text)
         assert coder.decode(ids) == text.encode()
 
 
-@pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (500, 32)])
-def test_table_is_encoded_as_the_library_would(spark, library, chunk, overlap):
-    got = bpe.encoded_digests(helpers.table(spark), chunk=chunk, overlap=overlap).collect()
+@pytest.mark.parametrize("chunk,overlap,dealt", [(bpe.CHUNK, bpe.OVERLAP, bpe.DEALT), (200, 32, 500), (100, 64, 100)])
+def test_table_is_encoded_as_the_library_would(spark, library, chunk, overlap, dealt):
+    got = bpe.encoded_digests(helpers.table(spark), chunk=chunk, overlap=overlap, dealt=dealt).collect()
     want = []
     for i, t, *_ in helpers.rows():
         ids = library.encode_ordinary(t or "")
@@ -43,13 +41,31 @@ def test_table_is_encoded_as_the_library_would(spark, library, chunk, overlap):
 
 
 def test_run_longer_than_any_chunk(coder, library):
-    text = "ab " + "q" * 5000 + " end of it"
-    parts = bpe.cut(text, 100, 20)
-    chunks = [bpe.Chunk(k * 100, p, k + 1 == len(parts), *bpe.encode_chunk(coder, p)) for k, p in enumerate(parts)]
-    assert [i for some in bpe.stitch(chunks, coder) for i in some] == library.encode_ordinary(text)
+    text = "ab " + "q" * 5000 + " end of it, " + "é" * 700 + "1" * 900 + " " * 800 + "x"
+    assert [i for some in bpe.stitch(bpe.chunks_of(coder, text, 100, 20), coder) for i in some] == library.encode_ordinary(text)
+
+
+def test_a_run_takes_time_in_proportion(coder, monkeypatch):
+    scanned = []
+
+    class Counting:
+        def finditer(self, text):
+            scanned.append(len(text))
+            return real.finditer(text)
+
+    real = coder.pattern
+    monkeypatch.setattr(coder, "pattern", Counting())
+    monkeypatch.setattr(coder, "piece", lambda piece: [len(piece)])
+    for n in (100_000, 400_000):
+        parts = bpe.cut("q" * n, 1000, 100)
+        chunks = (bpe.Chunk(k * 1000, p, k + 1 == len(parts), bpe.np.array([len(p)]), bpe.np.array([1]), [0]) for k, p in enumerate(parts))
+        scanned.clear()
+        assert [i for some in bpe.stitch(chunks, coder) for i in some] == [n] and sum(scanned) < 4 * n
 
 
 def test_no_rows_and_wrong_sizes(spark):
     assert bpe.encoded_digests(helpers.empty(spark)).count() == 0
     with pytest.raises(ValueError):
         bpe.encoded_digests(helpers.empty(spark), chunk=10, overlap=20)
+    with pytest.raises(ValueError):
+        bpe.encoded_digests(helpers.empty(spark), chunk=1000, overlap=20, dealt=999)
