@@ -116,3 +116,23 @@ def test_templates_with_passages_and_longer_copies_against_brute_force(spark, mo
     rnd.shuffle(texts)
     want = first_ids(texts)
     assert stay(spark, texts) == want and 40 < len(want) < len(texts) - 30
+
+
+def test_a_filter_of_fixed_size_loses_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.llm import common
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), "id", F.lit("text").alias("t"))
+    keys = rows.where("id % 50 = 0").select("k")
+    got = {r.id for r in common.that_may_meet(rows, keys, "k").collect()}
+    assert got >= set(range(0, 20_000, 50)) and len(got) < 500
+    assert common.that_may_meet(rows, keys.where("FALSE"), "k").count() == 0 and common.that_may_meet(rows.where("FALSE"), keys, "k").count() == 0
+
+
+def test_stage_where_what_is_asked_for_is_not_broadcast(spark, monkeypatch):
+    from strataloom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    texts = edited_texts(4, groups=6)
+    assert stay(spark, texts) == first_ids(texts)
