@@ -91,28 +91,29 @@ def join_small(big: DataFrame, small: DataFrame, key: str | list[str], spread: C
     return big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")
 
 
-#: Bits of a filter by key: 16 MB, whatever it holds. With a hundred million keys half of all others pass.
-FILTER_BITS, FILTER_PART = 1 << 27, 1 << 19
+#: Bits of a filter by key for each key, and at most: 16 MB, with which half of all others pass at a hundred million keys.
+FILTER_EACH, FILTER_BITS, FILTER_PART = 16, 1 << 27, 1 << 16
 
 
 def that_may_meet(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key (a hash as a long) is one of keys, and few others, found by a filter of fixed size: so that hardly more than these are shuffled to be joined."""
+    """The rows whose key (a hash as a long) is one of keys (written), and few others, found by a filter of bounded size: so that hardly more than these are shuffled to be joined."""
     spark = rows.sparkSession
-    bits = keys.select(F.pmod(F.col(key), F.lit(FILTER_BITS)).alias("bit")).withColumn("part", F.floor(F.col("bit") / FILTER_PART).cast("int"))
+    size = min(FILTER_BITS, max(FILTER_PART, power_of_two(FILTER_EACH * keys.count())))
+    bits = keys.select(F.pmod(F.col(key), F.lit(size)).alias("bit")).withColumn("part", F.floor(F.col("bit") / FILTER_PART).cast("int"))
 
     def build(part, found):
         held = np.zeros(FILTER_PART, dtype=bool)
         held[found["bit"].to_numpy() % FILTER_PART] = True
         return pa.table([pa.array([part[0].as_py()], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "held"])
 
-    packed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    packed = np.zeros(size // 8, dtype=np.uint8)
     for r in bits.groupBy("part").applyInArrow(build, "part int, held binary").collect():
         packed[r["part"] * FILTER_PART // 8 : (r["part"] + 1) * FILTER_PART // 8] = np.frombuffer(r["held"], dtype=np.uint8)
     sent = spark.sparkContext.broadcast(packed)
 
     @F.arrow_udf("boolean")
     def may_meet(k: pa.Array) -> pa.Array:
-        bit = k.to_numpy(zero_copy_only=False) % FILTER_BITS
+        bit = k.to_numpy(zero_copy_only=False) % size
         return pa.array((sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1)
 
     return rows.where(may_meet(key))

@@ -118,7 +118,7 @@ def test_templates_with_passages_and_longer_copies_against_brute_force(spark, mo
     assert stay(spark, texts) == want and 40 < len(want) < len(texts) - 30
 
 
-def test_a_filter_of_fixed_size_loses_no_key(spark):
+def test_a_filter_of_bounded_size_loses_no_key(spark):
     from pyspark.sql import functions as F
 
     from strataloom.llm import common
@@ -126,7 +126,7 @@ def test_a_filter_of_fixed_size_loses_no_key(spark):
     rows = spark.range(20_000).select(F.xxhash64("id").alias("k"), "id", F.lit("text").alias("t"))
     keys = rows.where("id % 50 = 0").select("k")
     got = {r.id for r in common.that_may_meet(rows, keys, "k").collect()}
-    assert got >= set(range(0, 20_000, 50)) and len(got) < 500
+    assert got >= set(range(0, 20_000, 50)) and len(got) < 2000
     assert common.that_may_meet(rows, keys.where("FALSE"), "k").count() == 0 and common.that_may_meet(rows.where("FALSE"), keys, "k").count() == 0
 
 
