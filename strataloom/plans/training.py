@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.operators import instruction, metrics, packing, registry, splitting
+from strataloom.operators import instruction, metrics, ordering, packing, registry, splitting
 from strataloom.plans.corpus import BUCKET, STRIPPED, WS, documents, query, scratch
 from strataloom.sources import files, sinks
 from strataloom.streaming import streams
@@ -166,22 +166,36 @@ def json_lines_roundtrip(spark, sf_dir):
 # --- metrics
 
 
-@query("""SELECT step, round(CASE WHEN step < 10 THEN 1.0 * (step + 1) / 10 WHEN step >= 110 THEN 0.1 ELSE 0.1 + 0.9 * (0.5 * (1 + cos(pi() * (step - 10) / 100.0))) END, 9)::DOUBLE AS lr FROM range(130) t(step)""")
+def events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+@query("""SELECT event_id, step, round(CASE WHEN step < 10 THEN 1.0 * (step + 1) / 10 WHEN step >= 110 THEN 0.1 ELSE 0.1 + 0.9 * (0.5 * (1 + cos(pi() * (step - 10) / 100.0))) END, 9)::DOUBLE AS lr
+  FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step FROM events)""")
 def lr_schedule(spark, sf_dir):
-    return spark.range(130).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 1.0, 0.1, 10, 110), 9).alias("lr"))
+    """A user's events are the steps of a run: the learning rate at each."""
+    steps = ordering.position(events(spark, sf_dir).select("event_id", "user_id"), "event_id", "step", by=["user_id"])
+    return steps.select("event_id", "step", F.round(metrics.learning_rate(F.col("step"), 1.0, 0.1, 10, 110), 9).alias("lr"))
 
 
 _STOPS = ", ".join(f"({k}, {v})" for k, v in metrics.LEG_STOPS.items())
+_LEGS = f"SELECT event_id, step, coalesce((SELECT min(k) FROM (VALUES {_STOPS}) l(k, s) WHERE step < s AND step >= 5000), 0)::INTEGER AS leg FROM (SELECT event_id, event_id * 13 AS step FROM events)"
+
+
+def _legs(spark, sf_dir):
+    steps = events(spark, sf_dir).select("event_id", (F.col("event_id") * 13).alias("step"))
+    return steps.withColumn("leg", F.coalesce(metrics.leg_of_step(F.col("step")), F.lit(0)))
 
 
-@query(f"SELECT i AS leg, coalesce((SELECT s FROM (VALUES {_STOPS}) l(k, s) WHERE k = i), {max(metrics.LEG_STOPS.values())})::INTEGER AS stop_step FROM range(1, 16) t(i)")
+@query(f"SELECT leg, coalesce((SELECT s FROM (VALUES {_STOPS}) l(k, s) WHERE k = leg), {max(metrics.LEG_STOPS.values())})::INTEGER AS stop_step, count(*) AS steps, max(step) AS last_step FROM ({_LEGS}) GROUP BY leg")
 def leg_ladder(spark, sf_dir):
-    return spark.range(1, 16).select(F.col("id").alias("leg"), metrics.leg_stop(F.col("id")).alias("stop_step"))
+    """The steps that events stand for, counted by leg, with the leg's stop."""
+    return _legs(spark, sf_dir).groupBy("leg").agg(F.count(F.lit(1)).alias("steps"), F.max("step").alias("last_step")).select("leg", metrics.leg_stop(F.col("leg")).alias("stop_step"), "steps", "last_step")
 
 
-@query(f"SELECT i * 500 AS step, coalesce((SELECT min(k) FROM (VALUES {_STOPS}) l(k, s) WHERE i * 500 < s AND i * 500 >= 5000), 0)::INTEGER AS leg FROM range(260) t(i)")
+@query(_LEGS)
 def leg_of_step(spark, sf_dir):
-    return spark.range(260).select((F.col("id") * 500).alias("step")).withColumn("leg", F.coalesce(metrics.leg_of_step(F.col("step")), F.lit(0)))
+    return _legs(spark, sf_dir)
 
 
 @query("SELECT round(avg(ln(1 + exp(-0.1 * ((n_chars % 97) / 3.0 - (n_chars % 89) / 3.0)))), 9) AS loss, count(*) AS pairs FROM documents")
