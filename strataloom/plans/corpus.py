@@ -174,9 +174,9 @@ def near_dedup(spark, sf_dir):
 _SQL_PII = {k: v.replace(r"(?<!\d)", "").replace(r"(?!\d)", "").replace("'", "''") for k, v in pii.PATTERNS.items()}
 
 
-def _masked_sql() -> str:
+def _masked_sql(text_sql: str = "text") -> str:
     """Masked step by step. RE2 has no look-around; greedy runs end where the guards hold, except after a digit and '+'."""
-    steps, at = ["m0 AS (SELECT doc_id, text AS t FROM documents)"], "m0"
+    steps, at = [f"m0 AS (SELECT doc_id, {text_sql} AS t FROM documents)"], "m0"
     done: list[str] = []
     for i, (n, p) in enumerate(_SQL_PII.items(), 1):
         kept = "".join(f"hits_{d}, " for d in done)
@@ -195,6 +195,18 @@ def pii_scrub(spark, sf_dir):
     return scrubbed.select("doc_id", *[F.col(f"hits_{n}").cast("long").alias(f"hits_{n}") for n in pii.PATTERNS], F.sha2("text", 256).alias("sha256"))
 
 
+#: Made-up findings of the classes that the tables don't hold, in words that both engines read alike.
+_PLANTED = """concat(text, chr(10), 'at 10.', CAST(doc_id % 10 AS STRING), '.2.3 by AKIA', repeat('Q7', 8), CASE doc_id % 4 WHEN 0 THEN concat(' and gho_', repeat('a1', 18 + CAST(doc_id % 3 AS INTEGER)), '.')
+  WHEN 1 THEN concat(chr(10), '-----BEGIN RSA ', 'PRIVATE KEY-----', chr(10), 'abc+/=', chr(10), '-----END RSA ', 'PRIVATE KEY-----') WHEN 2 THEN concat(' PassWord = ''no', CAST(doc_id AS STRING), '; Tokens: short12345 ') ELSE ' pwd ghp_short AKIAshort 1.2.3' END)"""
+
+
+@query(f"{_masked_sql(_PLANTED)} SELECT doc_id, {_HITS}, sha256(t) AS sha256 FROM m8")
+def pii_planted(spark, sf_dir):
+    """Masking of texts to which addresses, keys, tokens and passwords were added."""
+    scrubbed = pii.scrub(documents(spark, sf_dir).select("doc_id", F.expr(_PLANTED).alias("text")))
+    return scrubbed.select("doc_id", *[F.col(f"hits_{n}").cast("long").alias(f"hits_{n}") for n in pii.PATTERNS], F.sha2("text", 256).alias("sha256"))
+
+
 @query(f"{_masked_sql()}, sums AS ({' UNION ALL '.join(f'''SELECT '{n}' AS class, sum(hits_{n})::BIGINT AS hits FROM m8''' for n in pii.PATTERNS)}) SELECT class, hits FROM sums WHERE hits > 0")
 def pii_totals(spark, sf_dir):
     return pii.totals(pii.scrub(documents(spark, sf_dir).select("doc_id", "text")))
