@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataloom.functions import tokens
 from strataloom.operators import instruction, metrics, ordering, packing, registry, splitting
-from strataloom.plans.corpus import BUCKET, STRIPPED, WS, documents, query, scratch
+from strataloom.plans.corpus import BUCKET, PRETOKENS, STRIPPED, WS, documents, query, scratch
 from strataloom.sources import files, sinks
 from strataloom.streaming import streams
 
@@ -309,6 +310,13 @@ def stream_budget(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("doc_id")
 
 
+@query("SELECT doc_id, cost FROM (SELECT doc_id, n AS cost, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT doc_id, len(" + PRETOKENS + ")::BIGINT AS n FROM documents WHERE length(" + STRIPPED + ") >= 200 AND (lang IS NULL OR lang = 'en'))) WHERE spent < 90000")
+def stream_token_budget(spark, sf_dir):
+    """The budget in exact counts: what a document costs is the number of its pre-tokens."""
+    folder = scratch(spark, "budget")
+    streams.run_with_budget(_stream(spark, sf_dir), f"{folder}/out", f"{folder}/state", "doc_id", 90_000, cost=F.size(tokens.pretokens(F.col("text"))))
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "cost")
+
 
 @query(f"""WITH k AS (SELECT {STRIPPED} AS t FROM documents WHERE length({STRIPPED}) >= 200 AND (lang IS NULL OR lang = 'en')), d AS (SELECT DISTINCT t FROM k)
 SELECT (SELECT count(*) FROM documents) + 5 AS docs_scanned, count(*) AS docs_kept, sum(length(t))::BIGINT AS chars, 1000000::BIGINT AS token_budget, NULL::BIGINT AS actual_tokens, 'char-estimate' AS counting, NULL::VARCHAR AS truncated FROM d""")

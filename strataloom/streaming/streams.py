@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strataloom.functions.text import strip
 from strataloom.operators.filters import stream_filter
 from strataloom.operators.ordering import within_budget
+from strataloom.sources import shared
 
 
 def document_stream(spark: SparkSession, path: str, schema: StructType, files_a_trigger: int = 1) -> DataFrame:
@@ -34,20 +35,21 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, timeout: float |
     return {"docs_scanned": rows, "truncated": None if done else f"stopped after {timeout} s"}
 
 
-def run_with_budget(stream: DataFrame, path: str, checkpoint: str, order: str, budget: int, min_chars: int = 200, lang: str | None = "en", text_col: str = "text") -> None:
-    """Writes filtered documents, batch after batch, until their characters reach the budget. What was spent is read from
-    what was written, so a restarted query goes on rightly; a batch that is run again replaces its own folder."""
+def run_with_budget(stream: DataFrame, path: str, checkpoint: str, order: str, budget: int, min_chars: int = 200, lang: str | None = "en", text_col: str = "text", cost: Column | None = None) -> None:
+    """Writes filtered documents, batch after batch, until their cost reaches the budget: their characters, or a column such as the number of their tokens, which is computed once
+    and written as cost. Beside each batch's folder lies what was spent up to it, so a batch reads one row of the batch before, a restarted query goes on rightly, and a batch
+    that is run again replaces its own folder and total."""
     spark = stream.sparkSession
-
-    def spent(before: int) -> int:
-        total = spark.read.parquet(path).where(F.col("batch") < before).agg(F.sum(F.length(text_col))).first()[0] if before else 0
-        return total or 0
+    price = F.length(text_col) if cost is None else F.col("cost")
 
     def batch(rows: DataFrame, number: int) -> None:
-        left = budget - spent(number)
+        before = spark.read.parquet(f"{path}/_spent/{number - 1}").first()["spent"] if number else 0
         kept = stream_filter(rows, min_chars, lang, text_col)
-        kept = within_budget(kept, F.length(text_col), order, left) if left > 0 else kept.limit(0)
+        kept = kept if cost is None else shared.written(kept.withColumn("cost", cost.cast("long")), "costs")
+        kept = within_budget(kept, price, order, budget - before) if before < budget else kept.limit(0)
         kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own = spark.read.schema(kept.schema).parquet(f"{path}/batch={number}").agg(F.coalesce(F.sum(price), F.lit(0)).cast("long"))
+        own.toDF("own").select((F.col("own") + before).alias("spent")).write.mode("overwrite").parquet(f"{path}/_spent/{number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -57,14 +59,14 @@ def counted(stream: DataFrame, name: str = "progress", text_col: str = "text") -
     return stream.observe(name, F.count(F.lit(1)).alias("docs"), F.sum(F.length(text_col)).alias("chars"))
 
 
-def run_with_manifest(stream: DataFrame, path: str, checkpoint: str, min_chars: int = 200, lang: str | None = "en", text_col: str = "text", skip: int = 0, timeout: float | None = None, token_budget: int | None = None) -> DataFrame:
+def run_with_manifest(stream: DataFrame, path: str, checkpoint: str, min_chars: int = 200, lang: str | None = "en", text_col: str = "text", skip: int = 0, timeout: float | None = None, token_budget: int | None = None, tokens: Column | None = None) -> DataFrame:
     """Writes the filtered documents of the stream, one of each stripped text, and gives one row of counters:
-    docs_scanned (with those skipped before), docs_kept, chars, token_budget, actual_tokens (null: not counted), counting, truncated."""
+    docs_scanned (with those skipped before), docs_kept, chars, token_budget, actual_tokens (the sum of tokens over what was kept, null if that isn't given), counting ('exact' or 'char-estimate'), truncated."""
     spark = stream.sparkSession
     kept = deduplicated(stream_filter(stream, min_chars, lang, text_col), text_col)
     ran = run_to_table(kept, path, checkpoint, timeout)
-    counts = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("docs_kept"), F.coalesce(F.sum(F.length(strip(F.col(text_col)))), F.lit(0)).cast("long").alias("chars"))
+    counts = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("docs_kept"), F.coalesce(F.sum(F.length(strip(F.col(text_col)))), F.lit(0)).cast("long").alias("chars"), (F.lit(None) if tokens is None else F.coalesce(F.sum(tokens), F.lit(0))).cast("long").alias("actual_tokens"))
     return counts.select(
         F.lit(ran["docs_scanned"] + skip).cast("long").alias("docs_scanned"), "docs_kept", "chars", F.lit(token_budget).cast("long").alias("token_budget"),
-        F.lit(None).cast("long").alias("actual_tokens"), F.lit("char-estimate").alias("counting"), F.lit(ran["truncated"]).cast("string").alias("truncated"),
+        "actual_tokens", F.lit("char-estimate" if tokens is None else "exact").alias("counting"), F.lit(ran["truncated"]).cast("string").alias("truncated"),
     )
