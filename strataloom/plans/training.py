@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.functions import tokens
-from strataloom.operators import instruction, metrics, ordering, packing, registry, splitting
+from strataloom.operators import corpus, instruction, metrics, ordering, packing, registry, splitting
 from strataloom.plans.corpus import BUCKET, PRETOKENS, STRIPPED, WS, documents, query, scratch
 from strataloom.sources import files, sinks
 from strataloom.streaming import streams
@@ -55,6 +55,14 @@ def shard_manifest(spark, sf_dir):
     return sinks.write_shards(blocks, scratch(spark, "shards"), 4096, {"seq_len": SEQ}, gapless=True)
 
 
+@query(f"""{_BLOCKS}, w AS (SELECT DISTINCT split, block FROM l WHERE block < (n - 1) // {SEQ}), k AS (SELECT CASE WHEN {BUCKET} < 50 THEN 'val' ELSE 'train' END AS split FROM documents)
+SELECT (SELECT count(*) FROM k WHERE split = 'train') AS train_docs, (SELECT count(*) FROM k WHERE split = 'val') AS val_docs, count(*) FILTER (split = 'train') AS train_sequences, count(*) FILTER (split = 'val') AS val_sequences, (count(*) * {SEQ})::BIGINT AS total_tokens FROM w""")
+def pack_manifest(spark, sf_dir):
+    """Documents and sequences of a pack by split, and its tokens."""
+    index = sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), scratch(spark, "shards"), 4096, {"seq_len": SEQ}, gapless=True)
+    return corpus.pack_manifest(index, documents(spark, sf_dir), 0.05)
+
+
 @query(f"{_PACKED}, r AS (SELECT DISTINCT split, block // 4096 AS shard FROM b) SELECT split, shard::INTEGER AS shard, true AS ok FROM r")
 def shard_verify(spark, sf_dir):
     folder = scratch(spark, "shards")
