@@ -1,7 +1,8 @@
 """Byte-level BPE learnt from pre-token counts: training, encoding, decoding, and reports.
 
-Counting pre-tokens is distributed; merging runs on the driver over the distinct ones, which grow far slower than the text. min_frequency
-bounds them further. Documents are encoded by an Arrow UDF that remembers the pre-tokens it met last.
+Counting pre-tokens is distributed. A few distinct ones are merged on the driver; more stay with the executors, in blocks of symbols that are rewritten round
+after round, and the driver holds the totals of pairs alone, which the vocabulary bounds. A round makes as many merges as are certain to come next whatever
+the ones before do. Documents are encoded by an Arrow UDF that remembers the pre-tokens it met last.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from strataloom.functions.text import ratio, word_count
 from strataloom.functions.tokens import PRETOKEN, pretoken_counts
+from strataloom.sources import shared
 
 END_OF_TEXT = "<|endoftext|>"
 REMEMBERED = 200_000
+#: Distinct pre-tokens and bytes of them that the driver merges by itself; symbols of a block, and bytes of pre-tokens in a partition, where executors do.
+DRIVER_WORDS, DRIVER_BYTES, BLOCK, PART_BYTES = 100_000, 2 << 20, 1 << 20, 2 << 20
 
 
 def merged_parts(data: bytes, ranks: dict) -> list[bytes]:
@@ -202,13 +208,218 @@ def learn_merges(counts, vocab_size: int, specials: list[str]) -> Tokenizer:
     return Tokenizer(vocab, merges, specials)
 
 
+def sums_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of n, without those that are zero."""
+    if not len(keys):
+        return keys, n
+    by = np.argsort(keys, kind="stable")
+    keys, n = keys[by], n[by]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sums = np.add.reduceat(n, starts)
+    return keys[starts][sums != 0], sums[sums != 0]
+
+
+def pair_keys(symbols: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbours within words, as left * 2^32 + right, and their words. Every word ends with symbol 0."""
+    at = np.flatnonzero((symbols[:-1] != 0) & (symbols[1:] != 0))
+    return (symbols[at].astype(np.int64) << 32) | symbols[at + 1].astype(np.int64), words[at]
+
+
+def merged_block(symbols: np.ndarray, counts: np.ndarray, joins: list[tuple[int, int, int]]):
+    """A block of words (each ended by symbol 0) after joins (left, right, joined) of which none touches another; pairs whose totals change, and by how much.
+
+    Without joins: the block as it is, and the totals of its pairs.
+    """
+    if not joins:
+        keys, of = pair_keys(symbols, np.cumsum(symbols == 0) - (symbols == 0))
+        return symbols, *sums_by_key(keys, counts[of])
+    joins = sorted(joins)
+    left, right, new = (np.array(x, dtype=np.int64) for x in zip(*joins))
+    most = max(int(symbols.max(initial=0)), int(left.max()), int(right.max())) + 1
+    first, second = np.zeros(most, bool), np.zeros(most, bool)
+    first[left], second[right] = True, True
+    at = np.flatnonzero(first[symbols[:-1]] & second[symbols[1:]])
+    wanted = (left << 32) | right
+    found = (symbols[at].astype(np.int64) << 32) | symbols[at + 1].astype(np.int64)
+    which = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+    ok = wanted[which] == found
+    at, which = at[ok], which[ok]
+    if not len(at):
+        return symbols, np.empty(0, np.int64), np.empty(0, np.int64)
+    # only a pair of equal symbols can follow itself: of such a run every other one is joined, from the left
+    begins = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    place = np.arange(len(at))
+    ok = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+    at, which = at[ok], which[ok]
+    ends = np.flatnonzero(symbols == 0)
+    hit = np.zeros(len(ends), bool)
+    hit[np.searchsorted(ends, at)] = True
+    sizes = np.diff(ends, prepend=-1)
+    inside = np.repeat(hit, sizes)
+    word = np.repeat(np.arange(len(ends)), sizes)
+    before, of_before = pair_keys(symbols[inside], word[inside])
+    joined, stays = symbols.copy(), np.ones(len(symbols), bool)
+    joined[at], stays[at + 1] = new[which].astype(symbols.dtype), False
+    after, of_after = pair_keys(joined[stays & inside], word[stays & inside])
+    return joined[stays], *sums_by_key(np.concatenate([before, after]), np.concatenate([-counts[of_before], counts[of_after]]))
+
+
+def certain_merges(heap: list, totals: dict, known: dict, room: int) -> list:
+    """The pairs that are merged next, at least one if there is any, as many as all follow from these totals; they leave the heap.
+
+    A merge of (a, b) changes the counts of pairs that end with a or begin with b (touched pairs), and makes new pairs, each of which is at most as frequent as the touched pair
+    that stood there. So the next best pair comes next as long as neither it nor an equally frequent one is touched. After a pair of equal symbols, or one whose joint is a symbol already, all are counted anew.
+    """
+    batch, ends, begins = [], set(), set()
+    while heap and len(batch) < room:
+        n, group = None, []
+        while heap and (n is None or heap[0].n == n):
+            top = heapq.heappop(heap)
+            if totals.get(top.pair) == top.n and (not group or group[-1] != top.pair):
+                n = top.n
+                group.append(top.pair)
+        touched = sum(a in ends or b in begins for a, b in group)
+        lefts, rights = defaultdict(int), defaultdict(int)
+        for a, b in group:
+            lefts[a] += 1
+            rights[b] += 1
+        for k, (a, b) in enumerate(group):
+            again = a + b in known
+            if len(batch) == room or batch and (touched or again):
+                break
+            batch.append((a, b))
+            lefts[a] -= 1
+            rights[b] -= 1
+            ends.add(b)
+            begins.add(a)
+            touched += lefts[b] + rights[a]
+            if again or a == b:
+                room = len(batch)
+        else:
+            continue
+        for pair in group[k:]:
+            heapq.heappush(heap, _Top(n, pair))
+        break
+    return batch
+
+
+def learn_in_rounds(advance, vocab_size: int, specials: list[str]) -> Tokenizer:
+    """The tokenizer that learn_merges learns. advance: takes joins (left, right, joined symbol; byte b is symbol b + 1), makes them wherever the words lie, and
+    gives the changes of pair totals as (left, right, n); without joins, the totals."""
+    vocab = [bytes([b]) for b in range(256)]
+    named = [b"", *vocab]
+    known = {token: i for i, token in enumerate(named)}
+    for s in specials:
+        if s.encode() not in vocab:
+            vocab.append(s.encode())
+    merges, heap, totals, joins = [], [], defaultdict(int), []
+    while len(vocab) < vocab_size:
+        changed = set()
+        for a, b, n in advance(joins):
+            pair = (named[a], named[b])
+            totals[pair] += n
+            changed.add(pair)
+        for pair in changed:
+            if totals[pair] > 0:
+                heapq.heappush(heap, _Top(totals[pair], pair))
+            else:
+                del totals[pair]
+        batch, joins = certain_merges(heap, totals, known, vocab_size - len(vocab)), []
+        if not batch:
+            break
+        for a, b in batch:
+            merges.append((a, b))
+            vocab.append(a + b)
+            if a + b not in known:
+                known[a + b] = len(named)
+                named.append(a + b)
+            joins.append((known[a], known[b], known[a + b]))
+    return Tokenizer(vocab, merges, specials)
+
+
+def _blocks(kind: str):
+    """Partitions of (pre-token bytes, n) as blocks of words."""
+
+    def run(batches):
+        words, counts, size = [], [], 0
+
+        def flush():
+            symbols = np.frombuffer(b"\xff".join([*words, b""]), np.uint8).astype(kind) + np.array(1, kind)  # 0xff is no byte of UTF-8
+            symbols[symbols == 256] = 0
+            return pa.RecordBatch.from_pydict({"symbols": pa.array([symbols.tobytes()], pa.binary()), "counts": pa.array([np.array(counts, np.int64).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words.append(word)
+                counts.append(n)
+                size += len(word) + 1
+                if size >= BLOCK:
+                    yield flush()
+                    words, counts, size = [], [], 0
+        if words:
+            yield flush()
+
+    return run
+
+
+def _advanced(kind: str, joins: list):
+    """Blocks after joins, with the changes of their pairs."""
+
+    def run(batches):
+        for batch in batches:
+            for symbols, counts in zip(batch.column(0), batch.column(1)):
+                after, keys, n = merged_block(np.frombuffer(symbols.as_buffer(), kind), np.frombuffer(counts.as_buffer(), np.int64), joins)
+                columns = {"symbols": after.tobytes(), "counts": counts.as_py(), "keys": keys.tobytes(), "n": n.tobytes()}
+                yield pa.RecordBatch.from_pydict({c: pa.array([x], pa.binary()) for c, x in columns.items()})
+
+    return run
+
+
+def _changes(batches):
+    """The changes of blocks, summed in a task."""
+    for batch in batches:
+        both = [np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in c]) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums_by_key(*both)], names=["key", "n"])
+
+
+def learn_distributed(counts: DataFrame, vocab_size: int, specials: list[str], n_bytes: int) -> Tokenizer:
+    """learn_merges where counts (pretoken, n) lie: blocks of words in the shared folder, rewritten in each round."""
+    spark, kind = counts.sparkSession, "<u2" if vocab_size < 1 << 16 else "<u4"
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_bytes // PART_BYTES))
+    words = counts.select(F.encode("pretoken", "UTF-8").alias("word"), "n").repartition(parts, "word")
+    at = shared.new(spark, "words")
+    words.mapInArrow(_blocks(kind), "symbols binary, counts binary").write.parquet(at)
+
+    def advance(joins):
+        nonlocal at
+        before, at = at, shared.new(spark, "words")
+        schema = "symbols binary, counts binary"
+        spark.read.schema(schema).parquet(before).mapInArrow(_advanced(kind, joins), f"{schema}, keys binary, n binary").write.parquet(at)
+        shared.remove(spark, before)
+        changes = spark.read.schema("keys binary, n binary").parquet(at).mapInArrow(_changes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n <> 0")
+        return [(r["key"] >> 32, r["key"] & 0xFFFFFFFF, r["n"]) for r in changes.collect()]  # pairs of the vocabulary, whatever the words are
+
+    try:
+        return learn_in_rounds(advance, vocab_size, specials)
+    finally:
+        shared.remove(spark, at)
+
+
 def train(docs: DataFrame, vocab_size: int, specials: list[str] | None = None, min_frequency: int = 1, text_col: str = "text") -> Tokenizer:
     """A tokenizer of the documents. Special tokens count as ordinary text here."""
-    counts = pretoken_counts(docs, min_frequency, text_col).toLocalIterator()
-    found = [(r["pretoken"].encode(), r["n"]) for r in counts]
-    if not found:
-        raise ValueError("there is no pre-token to learn from")
-    return learn_merges(found, vocab_size, [END_OF_TEXT] if specials is None else specials)
+    specials = [END_OF_TEXT] if specials is None else specials
+    spark, path = docs.sparkSession, shared.new(docs.sparkSession, "pretokens")
+    pretoken_counts(docs, min_frequency, text_col).write.parquet(path)
+    try:
+        counts = spark.read.schema("pretoken string, n long").parquet(path)
+        words, n_bytes = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("pretoken")), F.lit(0))).first()
+        if not words:
+            raise ValueError("there is no pre-token to learn from")
+        if words <= DRIVER_WORDS and n_bytes <= DRIVER_BYTES:
+            return learn_merges(((r["pretoken"].encode(), r["n"]) for r in counts.toLocalIterator()), vocab_size, specials)
+        return learn_distributed(counts, vocab_size, specials, n_bytes)
+    finally:
+        shared.remove(spark, path)
 
 
 def encoder(tokenizer: Tokenizer):
