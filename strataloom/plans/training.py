@@ -312,7 +312,7 @@ def stream_dedup(spark, sf_dir):
 
 @query("SELECT doc_id FROM (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM documents WHERE length(" + STRIPPED + ") >= 200 AND (lang IS NULL OR lang = 'en')) WHERE spent < 400000")
 def stream_budget(spark, sf_dir):
-    """One file is one batch here, so the budget is spent in order."""
+    """The budget is spent in order of doc_id, whatever the order of the files."""
     folder = scratch(spark, "budget")
     streams.run_with_budget(_stream(spark, sf_dir), f"{folder}/out", f"{folder}/state", "doc_id", 400_000)
     return spark.read.parquet(f"{folder}/out").select("doc_id")
