@@ -12,6 +12,9 @@ therefore holds distinct sketches, and a document leaves it with the smallest pa
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from strataloom.functions.text import squeeze
 
-#: Runs whose hashes a Python worker keeps (64 longs each).
-REMEMBERED = 50_000
+#: Runs whose hashes a Python worker keeps (64 longs each, 134 MB), and runs that are looked up at once.
+REMEMBERED, AT_ONCE = 1 << 18, 1 << 16
 
 
 def text_bytes(text: Column) -> Column:
@@ -36,33 +39,76 @@ def runs(data: Column, k: int = 5) -> Column:
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.hex(F.substring(data, i, k)))
 
 
-def blake2_sketches(permutations: int = 64, k: int = 5):
-    """An Arrow UDF from a text's bytes to its sketch: for each seed the smallest 64-bit hash of its runs of k bytes, less 2^63 so that signed order is unsigned order.
+class RunHashes:
+    """The 64-bit hashes of runs for each seed, less 2^63 so that signed order is unsigned order; those of the runs met last are kept."""
+
+    def __init__(self, permutations: int):
+        self.prefixes = [seed.to_bytes(4, "little") for seed in range(permutations)]
+        self.rows: dict[bytes, int] = {}
+        self.table = np.empty((max(REMEMBERED, AT_ONCE), permutations), np.int64)
+
+    def places(self, runs: list[bytes]) -> np.ndarray:
+        """Rows of the table, for AT_ONCE distinct runs at most."""
+        new = [r for r in runs if r not in self.rows]
+        if len(self.rows) + len(new) > len(self.table):
+            self.rows.clear()
+            new = runs
+        for r in new:
+            hashed = np.frombuffer(b"".join(hashlib.blake2b(p + r, digest_size=8).digest() for p in self.prefixes), "<u8")
+            self.table[len(self.rows)] = (hashed ^ np.uint64(1 << 63)).view("<i8")
+            self.rows[r] = len(self.rows)
+        return np.fromiter(map(self.rows.__getitem__, runs), np.int64, len(runs))
+
+
+@lru_cache(maxsize=1)
+def run_hashes(permutations: int) -> RunHashes:
+    """One for a Python worker, which serves many tasks."""
+    return RunHashes(permutations)
+
+
+def distinct_runs(data: bytes, k: int) -> np.ndarray:
+    """The distinct runs of k bytes; the whole of a shorter text."""
+    if len(data) <= k:
+        return np.array([data], dtype=object)
+    cut = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), k)
+    if k > 8:
+        return np.array(list({x.tobytes() for x in cut}), dtype=object)
+    codes = np.zeros((len(cut), 8), np.uint8)
+    codes[:, :k] = cut
+    return np.unique(codes.view("<u8")[:, 0])
 
-    Hashes of the runs met last are kept, REMEMBERED of them, so a run that many texts share is hashed once.
-    """
-    prefixes = [seed.to_bytes(4, "little") for seed in range(permutations)]
-    known: dict[bytes, np.ndarray] = {}
 
-    def hashes(run: bytes) -> np.ndarray:
-        found = known.get(run)
-        if found is None:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            found = known[run] = np.frombuffer(b"".join(hashlib.blake2b(p + run, digest_size=8).digest() for p in prefixes), "<u8")
-        return found
+def blake2_sketches(permutations: int = 64, k: int = 5):
+    """An Arrow UDF from a text's bytes to its sketch: for each seed the smallest hash of its runs of k bytes (RunHashes). A run that many texts share is hashed once."""
+
+    def least(pieces: list, out: list) -> None:
+        """pieces: (text, its runs), AT_ONCE runs at most."""
+        hashes = run_hashes(permutations)
+        for kind in ("u", "O"):
+            some = [(i, runs) for i, runs in pieces if runs.dtype.kind == kind]
+            if some:
+                distinct, at = np.unique(np.concatenate([runs for _, runs in some]), return_inverse=True)
+                places = hashes.places([x if kind == "O" else int(x).to_bytes(8, "little")[:k] for x in distinct.tolist()])[at]
+                start = 0
+                for i, runs in some:
+                    found = hashes.table[places[start : start + len(runs)]].min(axis=0)
+                    out[i] = found if out[i] is None else np.minimum(out[i], found)
+                    start += len(runs)
 
     @F.pandas_udf(ArrayType(LongType()))
     def run(texts: pd.Series) -> pd.Series:
-        def one(data):
-            data, least = bytes(data), None
-            distinct = list({data[i : i + k] for i in range(max(1, len(data) - k + 1))})
-            for at in range(0, len(distinct), 512):
-                some = np.stack([hashes(r) for r in distinct[at : at + 512]]).min(axis=0)
-                least = some if least is None else np.minimum(least, some)
-            return (least ^ np.uint64(1 << 63)).view("<i8")
-
-        return texts.map(one)
+        out, pieces, size = [None] * len(texts), [], 0
+        for i, data in enumerate(texts):
+            runs = distinct_runs(bytes(data), k)
+            for at in range(0, len(runs), AT_ONCE):
+                piece = runs[at : at + AT_ONCE]
+                if size + len(piece) > AT_ONCE:
+                    least(pieces, out)
+                    pieces, size = [], 0
+                pieces.append((i, piece))
+                size += len(piece)
+        least(pieces, out)
+        return pd.Series(out, index=texts.index, dtype=object)
 
     return run
 
@@ -103,17 +149,31 @@ def removed_ids(sketches: DataFrame, bands: int, threshold: float, permutations:
     """Ids of documents that an earlier near-duplicate removes."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    rows = permutations // bands
     firsts = sketches.groupBy("sketch").agg(F.min(id_col).alias("__first"))
     equal = sketches.join(firsts, "sketch").where(F.col(id_col) != F.col("__first")).select(id_col)
-    band = F.posexplode(F.array(*[F.concat_ws("_", F.slice("sketch", b * rows + 1, rows)) for b in range(bands)])).alias("band", "key")
-    banded = firsts.select(F.col("__first").alias("id"), "sketch", band)
+    keys = F.array(*[F.concat(*[F.slice("sketch", at + 1, n) for at, n in parts]) for parts in postings(permutations, bands, threshold)])
+    banded = firsts.select(F.col("__first").alias("id"), "sketch", F.posexplode(keys).alias("band", "part")).withColumn("key", F.xxhash64("part"))
     a, b = banded.alias("a"), banded.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (similarity(F.col("a.sketch"), F.col("b.sketch")) >= threshold)
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") == F.col("b.part")) & (similarity(F.col("a.sketch"), F.col("b.sketch")) >= threshold)
     near = b.join(a, same, "left_semi").select(F.col("id").alias(id_col))
     return equal.union(near).distinct()
 
 
+def postings(permutations: int, bands: int, threshold: float) -> list[list[tuple[int, int]]]:
+    """Parts (from, length) of a sketch that make its keys: two sketches share a band and agree at threshold exactly if they also share one of these keys and agree at threshold.
+
+    Sketches that agree may differ in d places. If those can't lie in all bands, agreement alone implies a shared band; then, of d + 2 parts of a sketch, two at least
+    are equal, and keys of two parts each take far fewer sketches together than a band of few places does.
+    """
+    differ = max(d for d in range(permutations + 1) if (permutations - d) / permutations >= threshold)
+    rows = permutations // bands
+    parts = differ + 2
+    if differ >= bands or parts > permutations or math.comb(parts, 2) > 2 * bands or 2 * (permutations // parts) <= rows:
+        return [[(b * rows, rows)] for b in range(bands)]
+    cuts = [permutations * i // parts for i in range(parts + 1)]
+    return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in pair] for pair in combinations(range(parts), 2)]
+
+
 def kept_aside(df: DataFrame) -> DataFrame:
     """df, made once for all that reads it: written to the checkpoint folder if there is one, else persisted."""
     spark = df.sparkSession
