@@ -2,6 +2,7 @@
 
 Sequences are made once and written to the shared folder, with a number for each row. Offsets of documents in the concatenated sequence come from a running sum over order, length and row number alone;
 each document is cut into the slices that fall into a block, and a block is put together from its slices. No token is shuffled by itself, and a block holds few rows.
+Slices travel once: labels are made where blocks are, and blocks that go to shards are put together in the task of their shard. Whether a block is whole is a sum beside its slices, so counting blocks moves no token.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ def _check(seq_len: int) -> None:
         raise ValueError("seq_len must be positive")
 
 
-def _blocks(docs: DataFrame, arrays: list[str], order: str, seq_len: int, width: int, by: list[str]) -> DataFrame:
-    """by, block, the arrays' elements from block * seq_len on (width of them, fewer at the end)."""
+def _blocks(docs: DataFrame, arrays: list[str], order: str, seq_len: int, width: int, by: list[str], shard_rows: int | None = None) -> DataFrame:
+    """by, block, the arrays' elements from block * seq_len on, for the blocks that have width of them. shard_rows: with shard (of so many blocks), each in one task."""
     made = docs.select(*by, order, *arrays).withColumn("__n", F.size(arrays[0]))
     made = shared.written(made.withColumn("__row", F.monotonically_increasing_id()), "sequences").where("__n > 0")
     at = running_sum(made.select(*by, order, "__n", "__row"), F.col("__n"), order, "__at", by=by, ties=["__row"])
@@ -31,16 +32,20 @@ def _blocks(docs: DataFrame, arrays: list[str], order: str, seq_len: int, width:
     start = F.greatest(F.col("__at"), F.col("block") * seq_len)
     end = F.least(F.col("__at") + F.col("__n"), F.col("block") * seq_len + width)
     cut = [F.slice(a, (start - F.col("__at") + 1).cast("int"), (end - start).cast("int")).alias(a) for a in arrays]
-    slices = rows.where(start < end).select(*by, "block", F.struct("__at", *cut).alias("s"))
-    grouped = slices.groupBy(*by, "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return grouped.select(*by, "block", *[F.flatten(F.col("s")[a]).alias(a) for a in arrays])
+    slices = rows.where(start < end).select(*by, "block", (end - start).alias("__got"), F.struct("__at", *cut).alias("s"))
+    keys = [*by, "block"]
+    if shard_rows is not None:
+        keys = [*by, "shard", "block"]
+        slices = slices.withColumn("shard", F.floor(F.col("block") / shard_rows).cast("int")).repartition(*by, "shard")
+    grouped = slices.groupBy(*keys).agg(F.sum("__got").alias("__got"), F.array_sort(F.collect_list("s")).alias("s")).where(F.col("__got") == width)
+    return grouped.select(*keys, *[F.flatten(F.col("s")[a]).alias(a) for a in arrays])
 
 
-def pack_tokens(docs: DataFrame, seq_len: int, tokens: str = "tokens", order: str = "doc_id", by: list[str] | None = None) -> DataFrame:
-    """by, block, input_ids, labels: labels are the input shifted by one. Of N tokens there are (N - 1) div seq_len blocks."""
+def pack_tokens(docs: DataFrame, seq_len: int, tokens: str = "tokens", order: str = "doc_id", by: list[str] | None = None, shard_rows: int | None = None) -> DataFrame:
+    """by, block, input_ids, labels: labels are the input shifted by one. Of N tokens there are (N - 1) div seq_len blocks. shard_rows: with shard, ready for write_shards."""
     _check(seq_len)
-    whole = _blocks(docs, [tokens], order, seq_len, seq_len + 1, list(by or [])).where(F.size(tokens) == seq_len + 1)
-    return whole.select(*(by or []), "block", F.slice(tokens, 1, seq_len).alias("input_ids"), F.slice(tokens, 2, seq_len).alias("labels"))
+    whole = _blocks(docs, [tokens], order, seq_len, seq_len + 1, list(by or []), shard_rows)
+    return whole.select(*(by or []), *([] if shard_rows is None else ["shard"]), "block", F.slice(tokens, 1, seq_len).alias("input_ids"), F.slice(tokens, 2, seq_len).alias("labels"))
 
 
 def sft_example(prompt: Column, response: Column, eos: int) -> tuple[Column, Column]:
@@ -56,7 +61,7 @@ def trainable(labels: Column) -> Column:
 def pack_sft(pairs: DataFrame, seq_len: int, order: str, by: list[str] | None = None) -> DataFrame:
     """by, block, input_ids, labels, dropped: N div seq_len blocks of pairs with input_ids and labels; those without a trainable token are marked dropped."""
     _check(seq_len)
-    whole = _blocks(pairs, ["input_ids", "labels"], order, seq_len, seq_len, list(by or [])).where(F.size("input_ids") == seq_len)
+    whole = _blocks(pairs, ["input_ids", "labels"], order, seq_len, seq_len, list(by or []))
     return whole.withColumn("dropped", ~trainable(F.col("labels")))
 
 

@@ -51,7 +51,7 @@ def pack_counts(spark, sf_dir):
 SELECT split, shard::INTEGER AS shard, count(*) AS rows, (count(*) * {SEQ})::BIGINT AS tokens, sha256(string_agg(h, '' ORDER BY block)) AS sha256 FROM r GROUP BY split, shard""")
 def shard_manifest(spark, sf_dir):
     """Blocks written as shards; the index that was read back from them."""
-    blocks = packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"])
+    blocks = packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=4096)
     return sinks.write_shards(blocks, scratch(spark, "shards"), 4096, {"seq_len": SEQ}, gapless=True)
 
 
@@ -59,21 +59,21 @@ def shard_manifest(spark, sf_dir):
 SELECT (SELECT count(*) FROM k WHERE split = 'train') AS train_docs, (SELECT count(*) FROM k WHERE split = 'val') AS val_docs, count(*) FILTER (split = 'train') AS train_sequences, count(*) FILTER (split = 'val') AS val_sequences, (count(*) * {SEQ})::BIGINT AS total_tokens FROM w""")
 def pack_manifest(spark, sf_dir):
     """Documents and sequences of a pack by split, and its tokens."""
-    index = sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), scratch(spark, "shards"), 4096, {"seq_len": SEQ}, gapless=True)
+    index = sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=4096), scratch(spark, "shards"), 4096, {"seq_len": SEQ}, gapless=True)
     return corpus.pack_manifest(index, documents(spark, sf_dir), 0.05)
 
 
 @query(f"{_PACKED}, r AS (SELECT DISTINCT split, block // 4096 AS shard FROM b) SELECT split, shard::INTEGER AS shard, true AS ok FROM r")
 def shard_verify(spark, sf_dir):
     folder = scratch(spark, "shards")
-    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 4096, gapless=True)
+    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=4096), folder, 4096, gapless=True)
     return sinks.verify_shards(spark, folder)
 
 
 @query(f"{_PACKED} SELECT block, block AS place, md5(i) AS input_ids FROM b WHERE split = 'val'")
 def load_shards(spark, sf_dir):
     folder = scratch(spark, "shards")
-    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 64, gapless=True)
+    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=64), folder, 64, gapless=True)
     return files.load_sharded(spark, folder, "val").select("block", "place", digest("input_ids").alias("input_ids"))
 
 
@@ -341,5 +341,5 @@ SELECT concat('{{"version":"1","splits":{{', string_agg(j, ',' ORDER BY split),
 def index_document(spark, sf_dir):
     """The index of a pack as one JSON document."""
     folder = scratch(spark, "indexed")
-    index = sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"]), folder, 512, gapless=True)
+    index = sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=512), folder, 512, gapless=True)
     return sinks.index_document(index, "1", seq_len=SEQ)

@@ -40,11 +40,15 @@ def write_shards(blocks: DataFrame, folder: str, rows_per_shard: int, meta: dict
     """Blocks (split, block, input_ids, labels) as Parquet by split and shard, and the index beside it (folder_index).
 
     gapless: the blocks of a split are numbered 0, 1, ... as packing does, so that their places need no pass of their own.
+    Blocks that have their shard already (pack_tokens with shard_rows) lie in its task and are written from there.
     """
     if rows_per_shard <= 0:
         raise ValueError("rows_per_shard must be positive")
-    sharded = blocks.withColumn("shard", F.floor(F.col("block") / rows_per_shard).cast("int")) if gapless else with_shards(blocks, rows_per_shard, by=["split"])
-    sharded.repartition("split", "shard").sortWithinPartitions("block").write.mode("overwrite").partitionBy("split", "shard").parquet(folder)
+    if "shard" in blocks.columns:
+        sharded = blocks
+    else:
+        sharded = (blocks.withColumn("shard", F.floor(F.col("block") / rows_per_shard).cast("int")) if gapless else with_shards(blocks, rows_per_shard, by=["split"])).repartition("split", "shard")
+    sharded.sortWithinPartitions("split", "shard", "block").write.mode("overwrite").partitionBy("split", "shard").parquet(folder)
     index = shard_index(blocks.sparkSession.read.parquet(folder))
     index.withColumn("meta", F.lit(json.dumps(meta or {}, sort_keys=True))).write.mode("overwrite").parquet(f"{folder}_index")
     return index

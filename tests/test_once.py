@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from strataloom.operators import corpus, filters, packing
+from strataloom.sources import sinks
 
 
 def counted(spark, f, kind):
@@ -62,3 +63,16 @@ def test_first_of_equal_shuffles_rows_once(spark):
     rows = spark.createDataFrame([(2, "a", 1), (1, "a", 2), (1, "a", 3), (None, "b", 4), (None, None, 5), (3, None, 6), (None, "b", 7)], "doc_id long, text string, x int")
     got = sorted((str(r.doc_id), str(r.text)) for r in filters.first_of_equal(rows, F.col("text"), "doc_id").collect())
     assert got == [("1", "a"), ("3", "None"), ("None", "b")]
+
+
+def test_packing_into_shards_moves_sequences_twice(spark, tmp_path):
+    """To their offsets, and as slices to their shard; counting blocks moves none."""
+    rows = docs(spark).withColumn("tokens", F.transform(F.split("text", ""), lambda c: F.ascii(c))).hint("merge")
+    blocks = packing.pack_tokens(rows, 16, by=["split"], shard_rows=4)
+    of_arrays = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+    assert sum("shard" in line for line in of_arrays(blocks)) == 1 and not any("block" in line for line in of_arrays(blocks))
+    counted_plan = packing.pack_tokens(rows, 16, by=["split"]).groupBy("split").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in counted_plan
+    index = sinks.write_shards(blocks, f"{tmp_path}/a", 4, gapless=True)
+    plain = sinks.write_shards(packing.pack_tokens(rows, 16, by=["split"]), f"{tmp_path}/b", 4, gapless=True)
+    assert sorted(map(str, index.collect())) == sorted(map(str, plain.collect())) and index.count() > 3
