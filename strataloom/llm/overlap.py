@@ -1,12 +1,13 @@
-"""Near copies by the overlap (Jaccard) of their word shingles: candidates from bands of min-hashes, each link verified on the shingles.
+"""Near copies by the overlap (Jaccard) of their word shingles: candidates from an index of fingerprints, then from bands of min-hashes, each link verified on the shingles.
 
-Texts with the same set of shingles are one entry. An entry has BANDS x ROWS min-hashes; two entries meet in the posting of a band if they agree
+Texts with the same set of shingles are one entry. Candidates of the fingerprint index (simhash.py) are verified first, and what they link is one component from then on. No guarantee of such an index reaches as far as the overlap,
+so entries that are still apart meet once more: an entry has BANDS x ROWS min-hashes; two entries meet in the posting of a band if they agree
 in all rows of it. At an overlap of 0.8 a pair meets nowhere with a chance of (1 - 0.8^5)^40 = 1.3e-7, and less above. No pair is
 linked that doesn't reach the overlap: every link is verified on all shingles, before components are built.
 
-What is written for every entry is small: its bands and a byte of each min-hash. Shingles are made again, from the texts, for entries that meet another one only.
+What is written for every entry is small: its fingerprint, its bands and a byte of each min-hash. Shingles are made again, from the texts, for entries that meet another one only.
 
-Postings are searched in two rounds. First every entry is compared with the smallest entry of each of its postings. Then, in postings of up to PAIRWISE entries that still hold several components,
+Postings are searched in two rounds. First every entry is compared with the smallest entry of each of its postings, unless fingerprints have linked them. Then, in postings of up to PAIRWISE entries that still hold several components,
 all pairs of different components are compared. Either way the bytes of the min-hashes are compared first, and on the shingles only pairs whose bytes allow the overlap (SPREAD standard deviations below it).
 
 Entries of larger postings that still hold several components - pages of one template, say - get postings of another kind, of their rare shingles. Shingles are ordered by how many of these entries hold them, as counted in a table of SKETCH cells (two shingles of one cell count together: any order
@@ -24,6 +25,7 @@ Texts and sets of shingles are known by 64 bits: among 10^8 different ones two s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from strataloom.llm.components import component_labels
 BANDS, ROWS, SPREAD, PAIRWISE, BLOCK = 40, 5, 5.0, 12, 2048
 #: Cells of the table that counts shingles, and how many of them a row of it holds.
 SKETCH, PART = 1 << 20, 1 << 16
+#: Shingles whose bits are counted at once.
+SHINGLES = 1 << 15
 #: Rows of an Arrow batch that leaves a Python worker.
 BATCH = 256
 
@@ -66,6 +70,20 @@ def shingle_set(text: str | None, n_words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends)), dtype=np.uint64, count=len(starts)))
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), SHINGLES):
+        h = hashes[at : at + SHINGLES].astype("<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint as a signed long: the bits that are set in over half of n hashes."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 512):
@@ -79,26 +97,27 @@ def text_key(text_col: str):
 
 
 def distinct_entries(docs: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """__entry, __least (of its rows the one with the smallest id: whether that is null, id, key of its text), __key (of one of its texts), __bands and __low (a byte of each min-hash) of each set of shingles."""
+    """__entry, __least (of its rows the one with the smallest id: whether that is null, id, key of its text), __key (of one of its texts), __fp (the fingerprint of its shingles, each counted once), __bands and __low (a byte of each min-hash) of each set of shingles."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                entries, bands, low = [], [], []
+                entries, fps, bands, low = [], [], [], []
                 for t in part.column(2):
                     s = shingle_set(t.as_py(), n_words)
                     m = min_hashes(s).astype("<u8")
                     whole = m.tobytes()
                     entries.append(signed(xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), 7)))
+                    fps.append(majority(bit_counts(s), len(s)))
                     bands.append([signed(xxhash.xxh64_intdigest(whole[8 * ROWS * b : 8 * ROWS * (b + 1)], b)) for b in range(BANDS)] if len(s) else [])
                     low.append(m.astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(entries, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["__key", "__id", "__entry", "__bands", "__low"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(entries, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["__key", "__id", "__entry", "__fp", "__bands", "__low"])
 
     rows = docs.select(text_key(text_col).alias("__key"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    made = rows.mapInArrow(run, "__key long, __id long, __entry long, __bands array<long>, __low binary")
-    # equal entries have equal bands
-    return checkpointed(made.groupBy("__entry").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("__least"), F.min("__key").alias("__key"), F.first("__bands").alias("__bands"), F.first("__low").alias("__low")))
+    made = rows.mapInArrow(run, "__key long, __id long, __entry long, __fp long, __bands array<long>, __low binary")
+    # equal entries have equal fingerprints and bands
+    return checkpointed(made.groupBy("__entry").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("__least"), F.min("__key").alias("__key"), F.first("__fp").alias("__fp"), F.first("__bands").alias("__bands"), F.first("__low").alias("__low")))
 
 
 def shingles_of(docs: DataFrame, asked: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -333,15 +352,31 @@ def crowded_links(crowd: DataFrame, meeting: DataFrame, sets: DataFrame, overlap
     return found.union(forest)
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, overlap: float, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Links a, b that connect every two entries that overlap, by themselves or through others; each of them overlaps itself."""
+def labels_of(links: DataFrame) -> DataFrame:
+    """__entry and label of every linked entry."""
+    return component_labels(links).select(F.col("u").alias("__entry"), F.col("v").alias("label"))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose entries aren't of one component yet."""
+    for end in "ab":
+        pairs = pairs.join(labels.select(F.col("__entry").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def verified_links(docs: DataFrame, distinct: DataFrame, near: DataFrame, overlap: float, n_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Links a, b that connect every two entries that overlap, by themselves or through others; each of them overlaps itself. near: pairs a, b that are verified first; only entries that these leave apart are looked at again."""
+    near = checkpointed(near)
     posted = distinct.select("__entry", F.explode("__bands").alias("key"))
     shared = posted.groupBy("key").agg(F.min("__entry").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
     posted = checkpointed(posted.join(shared, "key"))  # only what meets another entry
-    meeting = checkpointed(distinct.join(posted.select("__entry").distinct(), "__entry").select("__entry", "__key", "__low"))
+    met = posted.select("__entry").union(near.select("a")).union(near.select("b")).distinct()
+    meeting = checkpointed(distinct.join(met, "__entry").select("__entry", "__key", "__low"))
     sets = shingles_of(docs, meeting, n_words, id_col, text_col)
-    stars = overlapping(allowed(posted.where("a <> __entry").select("a", F.col("__entry").alias("b")).distinct(), meeting, overlap), sets, overlap)
-    labels = component_labels(stars).select(F.col("u").alias("__entry"), F.col("v").alias("label"))
+    near = overlapping(allowed(near, meeting, overlap), sets, overlap)
+    stars = posted.where("a <> __entry").select("a", F.col("__entry").alias("b")).distinct()
+    stars = near.union(overlapping(allowed(apart(stars, labels_of(near)), meeting, overlap), sets, overlap))
+    labels = labels_of(stars)
     labelled = posted.select("key", "__entry").join(labels, "__entry", "left").withColumn("label", F.coalesce("label", "__entry"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q").select("key", "n")
     mixed = checkpointed(labelled.join(mixed, "key"))
@@ -353,10 +388,10 @@ def verified_links(docs: DataFrame, distinct: DataFrame, overlap: float, n_words
     return stars.union(found).union(crowded_links(crowd, meeting, sets, overlap))
 
 
-def component_firsts(docs: DataFrame, overlap: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """first_id and first_key of each component of texts that overlap: its smallest id (null if it has no other) and the key of that row's text."""
+def component_firsts(docs: DataFrame, near_pairs: Callable[[DataFrame], DataFrame], overlap: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """first_id and first_key of each component of texts that overlap: its smallest id (null if it has no other) and the key of that row's text. near_pairs gives the candidates a, b that fingerprints find among rows of __entry, __fp."""
     distinct = distinct_entries(docs, n_words, id_col, text_col)
-    labels = component_labels(verified_links(docs, distinct, overlap, n_words, id_col, text_col)).select(F.col("u").alias("__entry"), F.col("v").alias("__label"))
+    labels = component_labels(verified_links(docs, distinct, near_pairs(distinct.select("__entry", "__fp")), overlap, n_words, id_col, text_col)).select(F.col("u").alias("__entry"), F.col("v").alias("__label"))
     members = distinct.select("__entry", "__least").join(labels, "__entry", "left")
     least = members.groupBy(F.coalesce("__label", "__entry").alias("__label")).agg(F.min("__least").alias("__least"))
     return least.select(F.col("__least.id").alias("first_id"), F.col("__least.key").alias("first_key"))

@@ -136,3 +136,48 @@ def test_stage_where_what_is_asked_for_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
     texts = edited_texts(4, groups=6)
     assert stay(spark, texts) == first_ids(texts)
+
+
+def entries_of(spark, texts):
+    sets = [overlap.shingle_set(t) for t in texts]
+    return spark.createDataFrame([(i, overlap.majority(overlap.bit_counts(s), len(s))) for i, s in enumerate(sets)], "__entry long, __fp long")
+
+
+def test_candidates_come_from_the_fingerprint_index(spark):
+    """Texts with a word changed meet by their fingerprints; every candidate shares the bytes and is within the bits, and each fingerprint has two at most."""
+    rnd, texts = random.Random(9), []
+    for _ in range(40):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base[:150], "other", *base[151:]])]
+    entries = entries_of(spark, texts)
+    fp = {r[0]: r[1] % (1 << 64) for r in entries.collect()}
+    pairs = [tuple(sorted(r)) for r in simhash.fingerprint_pairs(entries).collect()]
+    for a, b in pairs:
+        x = fp[a] ^ fp[b]
+        assert x.bit_count() <= simhash.NEAR_BITS and x.to_bytes(8, "little").count(0) >= simhash.NEAR_BYTES
+    meant = {(i, i + 1) for i in range(0, 80, 2)}
+    can = {(a, b) for a, b in meant if (x := fp[a] ^ fp[b]).bit_count() <= simhash.NEAR_BITS and x.to_bytes(8, "little").count(0) >= simhash.NEAR_BYTES}
+    assert len(can) > 35 and can <= set(pairs) and len(pairs) <= 2 * len(texts)
+
+
+def test_stage_links_by_fingerprints_where_bands_give_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    whole = overlap.distinct_entries
+    monkeypatch.setattr(overlap, "distinct_entries", lambda *a: whole(*a).withColumn("__bands", F.slice("__bands", 1, 0)))
+    rnd, texts = random.Random(10), []
+    for _ in range(30):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base[:150], "other", *base[151:]])]
+    got = stay(spark, texts)
+    assert got >= set(range(0, 60, 2)) and len(got) < 34  # 60 before there was a fingerprint index
+
+
+def test_candidates_of_a_large_group_grow_with_its_entries(spark):
+    """A group of near copies fills postings of every combination; no fingerprint gets more than two candidates."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(300)]
+    pairs = [tuple(sorted(r)) for r in simhash.fingerprint_pairs(entries_of(spark, texts)).collect()]
+    assert 280 < len(pairs) <= 600 and len({i for p in pairs for i in p}) > 280
+    assert stay(spark, texts) == {0}
