@@ -29,8 +29,8 @@ from strataloom.llm.common import bounded_sample, checkpointed, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 1500, 4000, 1200
 BITS, GRAMS, THRESHOLD, PIECE = 20, (4, 9), 0.7, 1 << 19
-#: Partitions that count features; each gives two counts of every feature to the driver. Texts that are taken from a batch at once.
-COUNTERS, TEXTS = 4, 256
+#: Partitions that count features, and features whose counts are added up at once. Texts that are taken from a batch at once.
+COUNTERS, PART, TEXTS = 4, 1 << 16, 256
 
 _letters = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _mix = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -182,6 +182,11 @@ class Model:
     def __init__(self, w: np.ndarray, bias: float, a: float, b: float, known: bool = True):
         self.w, self.bias, self.a, self.b, self.known = w.astype(np.float64), bias, a, b, known
 
+    def __reduce__(self):
+        # tasks get the weights that aren't zero
+        at = np.flatnonzero(self.w).astype(np.int32)
+        return model_of, (at, self.w[at], self.bias, self.a, self.b, self.known)
+
     def scores(self, texts: list) -> np.ndarray:
         if not self.known:
             return np.zeros(len(texts))
@@ -193,6 +198,12 @@ class Model:
         return float(self.scores([text])[0])
 
 
+def model_of(at: np.ndarray, weights: np.ndarray, bias: float, a: float, b: float, known: bool) -> Model:
+    w = np.zeros(1 << BITS)
+    w[at] = weights
+    return Model(w, bias, a, b, known)
+
+
 def remainder(id_col):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3
 
@@ -217,37 +228,51 @@ def drawn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
     return texts.join(F.broadcast(wanted), "__id").select("__use", order.alias("__at"), "__y", "__text"), float(prior or 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_calibration: int = MAX_CALIBRATION) -> Model:
-    """A model from docs and labels(doc_id, toxic). It is fitted on max_positive toxic documents, max_unlabelled without their labels and max_calibration for the curve at most, all of labelled rows."""
-    texts, prior = drawn(docs, labels, max_positive, max_unlabelled, max_calibration, id_col, text_col)
-    if not prior:
-        return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0, known=False)
-    prior = min(max(prior, 1e-4), 0.9)
+def known_features(texts: DataFrame, n_p: int, n_u: int, narrow: type) -> DataFrame:
+    """feature and scale of every feature of texts(use, place, y, text) whose scale isn't 0. Tasks count in parts of PART features, which are added up and scaled in Spark."""
 
     def count(batches):
-        sums, n = np.zeros((2, 1 << BITS), dtype=np.int32), [0, 0]
+        sums = np.zeros((2, 1 << BITS), dtype=np.int32)
         for batch in batches:
             for part in (batch.slice(at, 32) for at in range(0, batch.num_rows, 32)):
                 for k, f in zip(part.column(0).to_pylist(), features(part.column(3).to_pylist())):
                     if k in ("p", "u"):
                         sums["pu".index(k), f] += 1
-                        n["pu".index(k)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int64())), pa.array([sums.astype(narrow).tobytes()], pa.binary())], names=["n", "sums"])
+        for at in range(0, 1 << BITS, PART):
+            part = sums[:, at : at + PART]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.astype(narrow).tobytes()], pa.binary())], names=["at", "sums"])
+
+    def scaled(key, rows):
+        sums = np.zeros((2, PART), dtype=np.int64)
+        for x in rows["sums"]:
+            sums += np.frombuffer(x.as_py(), dtype=narrow).reshape(2, -1)
+        scale = feature_scale(sums[0], sums[1], n_p, n_u)
+        found = np.flatnonzero(scale)
+        return pa.table([pa.array(found + key[0].as_py(), pa.int32()), pa.array(scale[found])], names=["feature", "scale"])
+
+    return texts.coalesce(COUNTERS).mapInArrow(count, "at int, sums binary").groupBy("at").applyInArrow(scaled, "feature int, scale double")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_calibration: int = MAX_CALIBRATION) -> Model:
+    """A model from docs and labels(doc_id, toxic). It is fitted on max_positive toxic documents, max_unlabelled without their labels and max_calibration for the curve at most, all of labelled rows."""
+    texts, prior = drawn(docs, labels, max_positive, max_unlabelled, max_calibration, id_col, text_col)
+    if not prior:
+        return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0, known=False)
+    prior = min(max(prior, 1e-4), 0.9)
 
-    # COUNTERS rows of 2 x 2^BITS counts each
-    narrow = np.uint16 if max(max_positive, max_unlabelled) < 1 << 16 else np.int32
     texts = checkpointed(texts)
-    counts = texts.coalesce(COUNTERS).mapInArrow(count, "n array<long>, sums binary").collect()
-    sums = np.zeros((2, 1 << BITS), dtype=np.int64)
-    for r in counts:
-        sums += np.frombuffer(r["sums"], dtype=narrow).reshape(2, -1)
-    n_p, n_u = (sum(r["n"][k] for r in counts) for k in (0, 1))
+    sizes = {r["__use"]: r["count"] for r in texts.groupBy("__use").count().collect()}
+    n_p, n_u = sizes.get("p", 0), sizes.get("u", 0)
     if not n_p or not n_u:
         return Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))), 1.0, 0.0)
-    scale = feature_scale(sums[0], sums[1], n_p, n_u)
-    known = scale > 0
+    found = known_features(texts, n_p, n_u, np.uint16 if max(max_positive, max_unlabelled) < 1 << 16 else np.int32).toArrow()
+    scale, places = np.zeros(1 << BITS), np.sort(found.column("feature").to_numpy())
+    scale[found.column("feature").to_numpy()] = found.column("scale").to_numpy()
 
     def run(batches):
+        known = np.zeros(1 << BITS, dtype=bool)
+        known[places] = True
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(features(batch.column(3).to_pylist(), known), pa.list_(pa.int32()))], names=["use", "at", "y", "f"])
 
@@ -261,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     w, bias = fit_nnpu(p, u, prior)
     a, b = fit_curve(c.times(w) + bias, y[use == "c"])
     weights = np.zeros(1 << BITS)
-    weights[known] = w * scale[known]
+    weights[places] = w * scale[places]
     return Model(weights, bias, a, b)
 
 

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -154,3 +155,19 @@ def test_bounds_hold_on_repeated_ids(spark):
     assert whole.where("__use = 'u'").count() <= 300
     model = toxicity.train(docs, labels, max_positive=30, max_unlabelled=50, max_calibration=20)
     assert len({r.score for r in toxicity.scored(docs, model, ["text"]).where("text LIKE 'again %'").collect()}) >= 1
+
+
+def test_little_passes_through_the_driver(spark):
+    """Features are counted and scaled in Spark: only those that tell toxic texts from others come to the driver, and a model is sent with the weights that aren't zero."""
+    rnd = random.Random(4)
+    texts = [("pu"[i % 2], i, 0, " ".join(f"w{rnd.randrange(10**4)}" for _ in range(60)) + (" " + BAD[i % 3] if i % 2 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame(texts, "use string, at long, y int, t string")
+    sums = np.zeros((2, 1 << toxicity.BITS), dtype=np.int64)
+    for k, f in zip([t[0] for t in texts], toxicity.features([t[3] for t in texts])):
+        sums["pu".index(k), f] += 1
+    want = toxicity.feature_scale(sums[0], sums[1], 300, 300)
+    got = toxicity.known_features(df, 300, 300, np.uint16).collect()
+    assert {r.feature: r.scale for r in got} == {i: want[i] for i in np.flatnonzero(want).tolist()} and 0 < len(got) < 1000
+    model = toxicity.Model(want, 0.5, 1.5, -0.5)
+    sent = pickle.dumps(model)
+    assert len(sent) < 50_000 and (pickle.loads(sent).scores([t[3] for t in texts]) == model.scores([t[3] for t in texts])).all()
