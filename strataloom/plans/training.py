@@ -73,7 +73,7 @@ def shard_verify(spark, sf_dir):
 @query(f"{_PACKED} SELECT block, block AS place, md5(i) AS input_ids FROM b WHERE split = 'val'")
 def load_shards(spark, sf_dir):
     folder = scratch(spark, "shards")
-    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=64), folder, 64, gapless=True)
+    sinks.write_shards(packing.pack_tokens(with_tokens(spark, sf_dir), SEQ, by=["split"], shard_rows=64, together=64), folder, 64, gapless=True)
     return files.load_sharded(spark, folder, "val").select("block", "place", digest("input_ids").alias("input_ids"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.ordering import position
+from strataloom.sources import shared
 
 
 def write_corpus(docs: DataFrame, path: str, order: str, eos: str | None = None, partitions: int | None = None, text_col: str = "text") -> None:
@@ -31,8 +32,8 @@ def row_hash() -> Column:
 
 def shard_index(blocks: DataFrame) -> DataFrame:
     """split, shard, rows, tokens, sha256 of every shard: the hash of its rows' hashes in order. A shard has rows_per_shard rows at most."""
-    rows = blocks.select("split", "shard", "block", F.size("input_ids").alias("n"), row_hash().alias("h"))
-    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "")
+    rows = blocks.select("split", "shard", "block", F.size("input_ids").alias("n"), F.unhex(row_hash()).alias("h"))  # half as wide as its digits
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: F.lower(F.hex(x["h"]))), "")
     return rows.groupBy("split", "shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("long").alias("tokens"), F.sha2(in_order, 256).alias("sha256"))
 
 
@@ -40,7 +41,8 @@ def write_shards(blocks: DataFrame, folder: str, rows_per_shard: int, meta: dict
     """Blocks (split, block, input_ids, labels) as Parquet by split and shard, and the index beside it (folder_index).
 
     gapless: the blocks of a split are numbered 0, 1, ... as packing does, so that their places need no pass of their own.
-    Blocks that have their shard already (pack_tokens with shard_rows) lie in its task and are written from there.
+    Blocks that have their shard already (pack_tokens with shard_rows) lie in its task and are written from there. Small shards that were put together (shards) share a folder and a file:
+    a folder of its own costs a shard of a few blocks more than its tokens do.
     """
     if rows_per_shard <= 0:
         raise ValueError("rows_per_shard must be positive")
@@ -48,7 +50,9 @@ def write_shards(blocks: DataFrame, folder: str, rows_per_shard: int, meta: dict
         sharded = blocks
     else:
         sharded = (blocks.withColumn("shard", F.floor(F.col("block") / rows_per_shard).cast("int")) if gapless else with_shards(blocks, rows_per_shard, by=["split"])).repartition("split", "shard")
-    sharded.sortWithinPartitions("split", "shard", "block").write.mode("overwrite").partitionBy("split", "shard").parquet(folder)
+    sharded = sharded.sortWithinPartitions("split", *(["shards"] if "shards" in blocks.columns else []), "shard", "block")
+    with shared.shuffles_removed(blocks.sparkSession):
+        sharded.write.mode("overwrite").options(**shared.TOKENS).partitionBy("split", "shards" if "shards" in blocks.columns else "shard").parquet(folder)
     index = shard_index(blocks.sparkSession.read.parquet(folder))
     index.withColumn("meta", F.lit(json.dumps(meta or {}, sort_keys=True))).write.mode("overwrite").parquet(f"{folder}_index")
     return index

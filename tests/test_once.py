@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from strataloom.operators import corpus, filters, packing
-from strataloom.sources import sinks
+from strataloom.sources import files, sinks
 
 
 def counted(spark, f, kind):
@@ -76,3 +76,38 @@ def test_packing_into_shards_moves_sequences_twice(spark, tmp_path):
     index = sinks.write_shards(blocks, f"{tmp_path}/a", 4, gapless=True)
     plain = sinks.write_shards(packing.pack_tokens(rows, 16, by=["split"]), f"{tmp_path}/b", 4, gapless=True)
     assert sorted(map(str, index.collect())) == sorted(map(str, plain.collect())) and index.count() > 3
+
+
+def test_small_shards_share_a_folder(spark, tmp_path):
+    """Shards of a few blocks have the rows and hashes that they have in folders of their own."""
+    rows = docs(spark, 60).withColumn("tokens", F.transform(F.split("text", ""), lambda c: F.ascii(c))).withColumn("split", F.when(F.col("doc_id") % 7 == 0, "val").otherwise("train"))
+    single = sinks.write_shards(packing.pack_tokens(rows, 16, by=["split"], shard_rows=2), f"{tmp_path}/a", 2, gapless=True)
+    index = sinks.write_shards(packing.pack_tokens(rows, 16, by=["split"], shard_rows=2, together=5), f"{tmp_path}/b", 2, gapless=True)
+    assert sorted(map(str, index.collect())) == sorted(map(str, single.collect())) and index.count() > 20
+    folders, written = ([len(list(tmp_path.glob(f"{x}/split=*/{at}"))) for x in "ab"] for at in ("shard*", "shard*/*.parquet"))
+    assert folders[0] == index.count() and folders[1] <= folders[0] // 5 + 2 and written == folders
+    assert all(r.ok for r in sinks.verify_shards(spark, f"{tmp_path}/b").collect())
+    read = lambda x: sorted(map(str, files.load_sharded(spark, f"{tmp_path}/{x}", "val").select("block", "place", "input_ids", "labels").collect()))
+    assert read("a") == read("b") and len(read("a")) > 5
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_tokens_of_any_width_are_packed(spark, kind):
+    """Sequences travel as bytes, shorts or as they are; blocks have what they had, with and without shards."""
+    kinds = [[0, 127, -128], [255, 3, 128], [-5, 200], [32767, -32768], [32768, 1], [-(1 << 31), (1 << 31) - 1], [None, 4], [None], [256, None, 0], [], None]
+    rows = [(i, kinds[i % len(kinds)]) for i in range(90)]
+    flat = [x for _, t in rows for x in t or []]
+    df = spark.createDataFrame(rows, f"doc_id long, tokens array<{kind}>").repartition(5)
+    want = [(b, flat[7 * b : 7 * b + 7], flat[7 * b + 1 : 7 * b + 8]) for b in range((len(flat) - 1) // 7)]
+    for shards in ({}, {"shard_rows": 2}, {"shard_rows": 2, "together": 3}):
+        got = packing.pack_tokens(df, 7, **shards)
+        assert sorted(((r.block, r.input_ids, r.labels) for r in got.collect()), key=lambda r: r[0]) == want and dict(got.dtypes)["labels"] == f"array<{kind}>"
+        assert not shards or all(r.shard == r.block // 2 for r in got.collect())
+
+
+def test_sequences_meet_their_offsets_without_a_join_of_tokens(spark):
+    """What is read of the sequences is shuffled once, as slices; the totals of ranges are broadcast. Shuffle files are kept by everybody else."""
+    rows = docs(spark).withColumn("tokens", F.transform(F.split("text", ""), lambda c: F.ascii(c)))
+    plan = packing.pack_tokens(rows, 16, by=["split"], shard_rows=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
