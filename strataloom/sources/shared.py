@@ -15,7 +15,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: Salts that rows of a key are dealt over where the other side isn't broadcast.
 SALTS = 32
 #: How tables of tokens are written.
-TOKENS = {"compression": "zstd"}
+TOKENS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 def folder(spark: SparkSession) -> str:
